@@ -130,7 +130,7 @@ def histogram(df: DataFrame, x: str | Column, bins: int, by: str | None = None,
     rng = rng.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     idx = F.least(F.floor((F.col(name) - F.col("lo")) / F.col("width")), F.lit(bins - 1))
     idx = F.when(F.col("width") > 0, idx).otherwise(F.lit(0)).cast("int")
-    joined = src.join(F.broadcast(rng), keys) if by else src.crossJoin(F.broadcast(rng))
+    joined = src.join(rng, keys) if by else src.crossJoin(F.broadcast(rng))
     counts = joined.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = rng.select(*keys, "lo", "width", "n_group",
                        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
