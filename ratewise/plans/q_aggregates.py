@@ -232,11 +232,21 @@ def g22_price_level_comparison(spark, d):
 
 
 @query("g23_position_histogram", sql_histogram(
-    "(actual_price - competitor_avg_price) / competitor_avg_price * 100", 50))
+    "(actual_price - competitor_avg_price) / competitor_avg_price * 100", 60))
 def g23_position_histogram(spark, d):
     from pyspark.sql import functions as F
     pos = (F.col("actual_price") - F.col("competitor_avg_price")) / F.col("competitor_avg_price") * 100
-    return A.histogram(_b(spark, d), pos, 50)
+    return A.histogram(_b(spark, d), pos, 60)
+
+
+@query("g23_position_mean", with_bookings(f"""
+SELECT {R('avg((actual_price - competitor_avg_price) / competitor_avg_price * 100)')} AS mean_position_pct
+FROM bookings"""))
+def g23_position_mean(spark, d):
+    from pyspark.sql import functions as F
+    from ratewise.functions.columns import fin
+    pos = (F.col("actual_price") - F.col("competitor_avg_price")) / F.col("competitor_avg_price") * 100
+    return _b(spark, d).agg(fin(F.avg(pos)).alias("mean_position_pct"))
 
 
 @query("g25_price_by_occ_band", with_bookings(f"""
