@@ -143,3 +143,9 @@ def with_bookings(select_sql: str, *ctes: str, dirty: bool = False) -> str:
     parts = [_JOIN, _L1, _L2, _L3, _L4, _DIRTY if dirty else _SPLIT]
     parts += [f"\n{c.strip()}" for c in ctes]
     return "WITH " + ",".join(parts) + "\n" + select_sql.strip()
+
+
+def D(x: float) -> str:
+    """A double literal DuckDB will not read as DECIMAL (round-trip repr + e0)."""
+    s = repr(float(x))
+    return s if ("e" in s or "inf" in s or "nan" in s) else s + "e0"
