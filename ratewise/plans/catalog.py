@@ -38,6 +38,6 @@ def load_all() -> dict[str, Entry]:
     """Import every module that registers queries."""
     from ratewise.plans import (  # noqa: F401
         q_ingest, q_profile, q_clean, q_features, q_aggregates, q_series,
-        q_elasticity, q_anomaly, q_scenarios, q_recommend, q_policy, q_models,
+        q_elasticity, q_anomaly, q_scenarios, q_recommend, q_policy, q_models, q_segments,
     )
     return REGISTRY

@@ -1 +1,173 @@
-"""Registered queries."""
+"""Registered model queries.
+
+SQL-checkable model operators (split, metrics, ranking, residuals, best
+pick) run on baseline price predictors that both engines can compute; the
+MLlib fits are checked by row count here and by closed forms and invariants
+in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ratewise.functions.columns import fin
+from ratewise.operators import aggregates as A
+from ratewise.operators import models as M
+from ratewise.operators import recommend as P
+from ratewise.operators.features import FEATURE_COLS, scaler_stats, standardize
+from ratewise.plans.catalog import query
+from ratewise.plans.oracle import R, with_bookings
+from ratewise.plans.q_aggregates import sql_histogram
+from ratewise.plans.q_clean import _sql_hash
+from ratewise.plans.q_recommend import RULE_CTE, requests_from
+from ratewise.sources.bookings import bookings
+
+# Baseline predictors of the price: the rule price and the raw references.
+BASELINES = ["rule_price", "competitor_avg_price", "competitor_min_price", "competitor_max_price", "base_price"]
+
+
+def metrics_many(df: DataFrame, preds: list[str], y: str = "actual_price", floor: float = 1e-9) -> DataFrame:
+    """M11 for several prediction columns in one pass, one row per predictor."""
+    aggs = [F.var_pop(y).alias("_vy"), F.count(y).alias("_n")]
+    for p in preds:
+        err = F.col(y) - F.col(p)
+        aggs += [F.avg(F.abs(err)).alias(f"{p}__mae"), F.avg(err * err).alias(f"{p}__mse"),
+                 F.sum(err * err).alias(f"{p}__sse"),
+                 F.avg(F.abs(err) / F.greatest(F.abs(F.col(y)), F.lit(floor))).alias(f"{p}__ape")]
+    row = df.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(p).alias("model"), fin(F.col(f"{p}__mae")).alias("mae"), fin(F.sqrt(F.col(f"{p}__mse"))).alias("rmse"),
+        fin(1 - F.col(f"{p}__sse") / (F.col("_vy") * F.col("_n"))).alias("r2"),
+        fin(F.col(f"{p}__ape") * 100).alias("mape"), F.col("_n").alias("n")) for p in preds]))
+    return row.select(rows.alias("m")).select("m.*")
+
+
+def _sql_metrics(p, y="actual_price", src="ruled"):
+    return (f"SELECT '{p}' AS model, {R(f'avg(abs({y} - {p}))')} AS mae, {R(f'sqrt(avg(({y} - {p}) * ({y} - {p})))')} AS rmse, "
+            f"{R(f'1 - sum(({y} - {p}) * ({y} - {p})) / (var_pop({y}) * count({y}))')} AS r2, "
+            f"{R(f'avg(abs({y} - {p}) / greatest(abs({y}), 1e-9)) * 100')} AS mape, count({y}) AS n FROM {src}")
+
+
+BASE_METRICS_CTE = "bm AS (" + " UNION ALL ".join(_sql_metrics(p) for p in BASELINES) + ")"
+
+
+def _baseline_metrics(spark, d):
+    return metrics_many(P.rule_price(bookings(spark, d)), BASELINES)
+
+
+@query("m01_chrono_split", with_bookings("""
+SELECT is_test, count(*) AS n, min(checkin_date) AS first_date, max(checkin_date) AS last_date
+FROM bookings GROUP BY is_test"""))
+def m01_chrono_split(spark, d):
+    b = bookings(spark, d)
+    return b.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.min("checkin_date").alias("first_date"),
+                                    F.max("checkin_date").alias("last_date"))
+
+
+_INT_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("m02_random_split", with_bookings(f"""
+SELECT CAST(({_sql_hash(_INT_KEYS, 42)}) % 100 >= 80 AS INT) AS is_holdout, count(*) AS n,
+       {R('avg(actual_price)')} AS avg_price FROM bookings GROUP BY 1"""))
+def m02_random_split(spark, d):
+    train, test = M.random_split(bookings(spark, d), 0.8, 42)
+    t = train.agg(F.lit(0).alias("is_holdout"), F.count(F.lit(1)).alias("n"), fin(F.avg("actual_price")).alias("avg_price"))
+    h = test.agg(F.lit(1).alias("is_holdout"), F.count(F.lit(1)).alias("n"), fin(F.avg("actual_price")).alias("avg_price"))
+    return t.unionByName(h)
+
+
+@query("m11_rule_metrics", with_bookings(_sql_metrics("rule_price"), RULE_CTE))
+def m11_rule_metrics(spark, d):
+    return metrics_many(P.rule_price(bookings(spark, d)), ["rule_price"])
+
+
+@query("m11_baseline_metrics", with_bookings("SELECT * FROM bm", RULE_CTE, BASE_METRICS_CTE))
+def m11_baseline_metrics(spark, d):
+    return _baseline_metrics(spark, d)
+
+
+@query("m15_rank_models", with_bookings("""
+SELECT model, CAST(rank() OVER (ORDER BY r2 DESC, model) AS INT) AS rank_r2,
+       CAST(rank() OVER (ORDER BY mae ASC, model) AS INT) AS rank_mae,
+       CAST(rank() OVER (ORDER BY rmse ASC, model) AS INT) AS rank_rmse,
+       CAST(rank() OVER (ORDER BY mape ASC, model) AS INT) AS rank_mape FROM bm""", RULE_CTE, BASE_METRICS_CTE))
+def m15_rank_models(spark, d):
+    res = _baseline_metrics(spark, d)
+    for metric, asc in (("r2", False), ("mae", True), ("rmse", True), ("mape", True)):
+        res = M.rank_models(res, metric, asc)
+    return res.select("model", *[F.col(f"rank_{m}").cast("int").alias(f"rank_{m}") for m in ("r2", "mae", "rmse", "mape")])
+
+
+@query("m16_residual_histogram", sql_histogram("actual_price - rule_price", 60, source="ruled", extra_ctes=(RULE_CTE,)))
+def m16_residual_histogram(spark, d):
+    r = P.rule_price(bookings(spark, d))
+    return A.histogram(r, F.col("actual_price") - F.col("rule_price"), 60)
+
+
+@query("m16_residual_summary", with_bookings(f"""
+SELECT {R('avg(actual_price - rule_price)')} AS mean_residual, {R('stddev_samp(actual_price - rule_price)')} AS std_residual,
+       count(*) AS n FROM ruled""", RULE_CTE))
+def m16_residual_summary(spark, d):
+    r = P.rule_price(bookings(spark, d))
+    res = F.col("actual_price") - F.col("rule_price")
+    return r.agg(fin(F.avg(res)).alias("mean_residual"), fin(F.stddev_samp(res)).alias("std_residual"),
+                 F.count(F.lit(1)).alias("n"))
+
+
+@query("m24_best_model", with_bookings("SELECT * FROM bm ORDER BY r2 DESC, model LIMIT 1", RULE_CTE, BASE_METRICS_CTE))
+def m24_best_model(spark, d):
+    return M.best(_baseline_metrics(spark, d), "r2")
+
+
+def _fit(kind):
+    def run(spark, d):
+        train, test = M.prepared_split(bookings(spark, d))
+        _, m = M.fit_evaluate(kind, train, test)
+        return m
+    run.__name__ = f"m_fit_{kind}"
+    return run
+
+
+for _code, _kind in (("m03", "linear"), ("m04", "ridge"), ("m05", "lasso"), ("m06", "tree"),
+                     ("m07", "forest"), ("m08", "gbt"), ("m09", "gbt_sub")):
+    query(f"{_code}_fit_{_kind}")(_fit(_kind))
+
+
+@query("m12_cross_validate_linear")
+def m12_cross_validate_linear(spark, d):
+    train, _ = M.prepared_split(bookings(spark, d))
+    return M.cross_validate("linear", train, k=5)
+
+
+@query("m13_leaderboard")
+def m13_leaderboard(spark, d):
+    train, test = M.prepared_split(bookings(spark, d))
+    return M.leaderboard(["linear", "ridge", "lasso", "tree"], train, test)
+
+
+@query("m17_tree_importances")
+def m17_tree_importances(spark, d):
+    train, test = M.prepared_split(bookings(spark, d))
+    model, _ = M.fit_evaluate("tree", train, test)
+    return M.importances(model, FEATURE_COLS, 20)
+
+
+@query("p02_model_price")
+def p02_model_price(spark, d):
+    """Price every completed request with a model trained on the bookings
+    (features the request lacks are 0, as in the reference)."""
+    from pyspark.ml.feature import VectorAssembler
+    b = bookings(spark, d)
+    table = M.model_table(b)
+    train, _ = M.chrono_split(table)
+    stats = scaler_stats(train, FEATURE_COLS)
+    asm = VectorAssembler(inputCols=[f"{c}_scaled" for c in FEATURE_COLS], outputCol="features")
+    model = M.estimator("linear").fit(asm.transform(standardize(train, FEATURE_COLS, stats)))
+    req = P.complete_requests(requests_from(b))
+    missing = {c: F.lit(0) for c in FEATURE_COLS if c not in req.columns}
+    scored = model.transform(asm.transform(standardize(req.withColumns(missing), FEATURE_COLS, stats)))
+    ctx = P.price_context(scored.withColumn("model_price", fin("prediction", 2)), "model_price")
+    return ctx.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model_price",
+                      "vs_base_pct", "vs_comp_pct", "expected_revenue")

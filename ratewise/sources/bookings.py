@@ -161,12 +161,45 @@ def mark_test(df: DataFrame, frac: float = 0.8, date_col: str = "checkin_date")
             .drop("split_date"))
 
 
+# sf_dir -> path of a written bookings table (see ``materialize``).
+_MATERIALIZED: dict[str, str] = {}
+
+
 def bookings(spark: SparkSession, sf_dir: str, split: bool = True) -> DataFrame:
-    """C1 + C2 + C3 + D1-D3 + D5-D12 over the driver tables."""
+    """C1 + C2 + C3 + D1-D3 + D5-D12 over the driver tables.
+
+    When the table for ``sf_dir`` has been written by ``materialize`` in this
+    process, it is scanned from there instead of re-joined.
+    """
+    path = _MATERIALIZED.get(sf_dir)
+    if path is not None and split:
+        return spark.read.parquet(path)
     df = valid_rates(derive(star_join(spark, sf_dir)))
     return mark_test(df) if split else df
 
 
+def materialize(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """Write the bookings table once (the lineage cut every analysis reads).
+
+    The target is under the shared checkpoint folder unless given, so any
+    executor can read it back and a lost executor costs no recomputation of
+    the joins.
+    """
+    from ratewise.session import scratch_path
+    _MATERIALIZED.pop(sf_dir, None)
+    path = path or scratch_path(spark, "bookings")
+    bookings(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _MATERIALIZED[sf_dir] = path
+    return path
+
+
+def forget_materialized(sf_dir: str | None = None) -> None:
+    if sf_dir is None:
+        _MATERIALIZED.clear()
+    else:
+        _MATERIALIZED.pop(sf_dir, None)
+
+
 def dirty_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5 + C6: ``bookings`` before the C1 filter with planted issues.
 
