@@ -142,8 +142,11 @@ def label_maps(df: DataFrame, cols: Sequence[str] = ENCODED_COLS) -> DataFrame:
 def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS,
                  maps: DataFrame | None = None) -> DataFrame:
     """``<col>_enc`` codes by joining each column to its mapping rows."""
+    from ratewise.session import cut_lineage
     cols = [c for c in cols if c in df.columns]
-    maps = maps if maps is not None else label_maps(df, cols)
+    # The mapping table is small; writing it once keeps each of the joins
+    # below a scan of it instead of a re-derivation of ``df``.
+    maps = cut_lineage(maps if maps is not None else label_maps(df, cols))
     out = df
     for c in cols:
         m = (maps.filter(F.col("column") == c)

@@ -35,7 +35,7 @@ MODEL_PARAMS = {
     "ridge": {"alpha": 1.0},
     "lasso": {"alpha": 0.5, "max_iter": 5000},
     "tree": {"max_depth": 10},
-    "forest": {"num_trees": 200, "min_leaf": 2, "max_depth": 12},
+    "forest": {"num_trees": 200, "min_leaf": 2, "max_depth": 10, "max_features": "all"},
     "gbt": {"n_iter": 200, "step": 0.08, "max_depth": 5},
     "gbt_sub": {"n_iter": 250, "step": 0.07, "max_depth": 6, "subsample": 0.85, "colsample": "0.8"},
 }
@@ -109,7 +109,8 @@ def estimator(kind: str, label: str = TARGET, features: str = "features", seed:
         return DecisionTreeRegressor(maxDepth=p["max_depth"], seed=seed, **common)
     if kind == "forest":
         return RandomForestRegressor(numTrees=p["num_trees"], minInstancesPerNode=p["min_leaf"],
-                                     maxDepth=p["max_depth"], seed=seed, **common)
+                                     maxDepth=p["max_depth"], featureSubsetStrategy=p["max_features"],
+                                     maxMemoryInMB=64, seed=seed, **common)
     if kind == "gbt":
         return GBTRegressor(maxIter=p["n_iter"], stepSize=p["step"], maxDepth=p["max_depth"], seed=seed, **common)
     if kind == "gbt_sub":
@@ -148,10 +149,12 @@ def fit_evaluate(kind: str, train: DataFrame, test: DataFrame, **override):
 
 
 def prepared_split(bookings: DataFrame, cols: Sequence[str] = FEATURE_COLS):
-    table = model_table(bookings)
+    """Feature table written once (lineage cut), split, scaled with train stats."""
+    from ratewise.session import cut_lineage
+    table = cut_lineage(model_table(bookings))
     train, test = chrono_split(table)
     train_v, (test_v,) = vectorize(train, [test], cols)
-    return train_v.cache(), test_v.cache()
+    return train_v, test_v
 
 
 def leaderboard(kinds: Sequence[str], train: DataFrame, test: DataFrame, **override) -> DataFrame:
@@ -171,7 +174,8 @@ def leaderboard(kinds: Sequence[str], train: DataFrame, test: DataFrame, **overr
 
 def cross_validate(kind: str, df: DataFrame, k: int = 5, seed: int = 42, **override) -> DataFrame:
     """K-fold R2 mean and population std (folds from the key hash)."""
-    folded = fold_column(df, k, seed).cache()
+    from ratewise.session import cut_lineage
+    folded = cut_lineage(fold_column(df, k, seed))
     scores = []
     for f in range(k):
         tr = folded.filter(F.col("fold") != f)
@@ -179,7 +183,6 @@ def cross_validate(kind: str, df: DataFrame, k: int = 5, seed: int = 42, **overr
         n, s = label_stats(tr)
         model = estimator(kind, n_rows=n, label_std=s, **override).fit(tr)
         scores.append(metrics(model.transform(te)).first()["r2"])
-    folded.unpersist()
     mean = sum(scores) / k
     std = (sum((x - mean) ** 2 for x in scores) / k) ** 0.5
     spark = df.sparkSession
@@ -214,7 +217,8 @@ def random_search(df: DataFrame, draws: int = 20, folds: int = 3, seed: int = 42
     rng = random.Random(seed)
     combos = list(itertools.product(*space.values()))
     picks = [dict(zip(space.keys(), c)) for c in rng.sample(combos, min(draws, len(combos)))]
-    folded = fold_column(df, folds, seed).cache()
+    from ratewise.session import cut_lineage
+    folded = cut_lineage(fold_column(df, folds, seed))
     rows = []
     for i, p in enumerate(picks):
         scores = []
@@ -224,7 +228,6 @@ def random_search(df: DataFrame, draws: int = 20, folds: int = 3, seed: int = 42
             m = GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **p).fit(tr)
             scores.append(metrics(m.transform(te)).first()["r2"])
         rows.append((i, *[p[k] for k in space], float(sum(scores) / folds)))
-    folded.unpersist()
     def sql_type(v):
         return "double" if isinstance(v, float) else "string" if isinstance(v, str) else "int"
     schema = ", ".join(["draw int"] + [f"{k} {sql_type(v[0])}" for k, v in space.items()]
@@ -241,7 +244,8 @@ def tuning_effects(results: DataFrame, param: str) -> DataFrame:
 def fit_stack(train: DataFrame, test: DataFrame, base: Sequence[str] = ("forest", "gbt", "tree"),
               folds: int = 5, seed: int = 42, **override) -> DataFrame:
     """Out-of-fold predictions of the base models feed a linear meta-model."""
-    folded = fold_column(train, folds, seed).cache()
+    from ratewise.session import cut_lineage
+    folded = cut_lineage(fold_column(train, folds, seed))
     oof_parts = []
     for f in range(folds):
         tr = folded.filter(F.col("fold") != f)
@@ -262,14 +266,14 @@ def fit_stack(train: DataFrame, test: DataFrame, base: Sequence[str] = ("forest"
         mdl = estimator(b, **override.get(b, {})).fit(train)
         full = mdl.transform(full).withColumnRenamed("prediction", f"p_{b}")
     scored = meta.transform(asm.transform(full))
-    folded.unpersist()
     return metrics(scored).withColumn("model", F.lit("stacking"))
 
 
 def learning_curve(df: DataFrame, kind: str = "gbt", sizes: int = 10, folds: int = 5,
                    seed: int = 42, **override) -> DataFrame:
     """train/validation R2 for growing nested train subsets (hash prefixes)."""
-    folded = fold_column(df, folds, seed).withColumn("_u", row_hash(SPLIT_KEYS, seed + 1) % 10000).cache()
+    from ratewise.session import cut_lineage
+    folded = cut_lineage(fold_column(df, folds, seed).withColumn("_u", row_hash(SPLIT_KEYS, seed + 1) % 10000))
     rows = []
     for i in range(1, sizes + 1):
         frac = 0.1 + 0.9 * (i - 1) / max(sizes - 1, 1)
@@ -279,7 +283,6 @@ def learning_curve(df: DataFrame, kind: str = "gbt", sizes: int = 10, folds: int
             mdl = estimator(kind, **override).fit(tr)
             rows.append((i, frac, f, metrics(mdl.transform(tr)).first()["r2"],
                          metrics(mdl.transform(te)).first()["r2"]))
-    folded.unpersist()
     spark = df.sparkSession
     raw = spark.createDataFrame(rows, "size int, frac double, fold int, train_r2 double, val_r2 double")
     return (raw.groupBy("size", "frac")

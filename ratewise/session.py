@@ -82,5 +82,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "local_path", "exists",
-           "DEFAULT_CONF"]
+def cut_lineage(df):
+    """Reliable lineage cut: ``checkpoint()`` into the shared checkpoint folder.
+
+    Used before fit loops and multi-way reuse so plans stay small and a lost
+    executor re-reads the written data instead of recomputing the joins.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ratewise`` importable in Python workers (``addPyFile`` of a zip,
+    the in-session equivalent of ``--py-files``). Needed only by operators
+    that run Python on executors (pandas UDFs); done once per application."""
+    import os
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="ratewise-pyfiles-"), "ratewise.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "local_path", "exists", "cut_lineage",
+           "ship_package", "DEFAULT_CONF"]
