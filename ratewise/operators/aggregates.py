@@ -360,3 +360,45 @@ def premium_pct(df: DataFrame) -> DataFrame:
     out = row.select(stack.alias("p")).select("p.*")
     return out.select("flag", fin("avg_in").alias("avg_in"), fin("avg_out").alias("avg_out"),
                       fin((F.col("avg_in") / F.col("avg_out") - 1) * 100).alias("premium_pct"))
+
+
+def filliben_positions(m: int) -> list[float]:
+    """Uniform order-statistic medians for ``m`` points (normal probability plot)."""
+    last = 0.5 ** (1.0 / m)
+    return [1.0 - last] + [(i - 0.3175) / (m + 0.365) for i in range(2, m)] + [last]
+
+
+def qq_points(df: DataFrame, col: str, m: int = 200) -> DataFrame:
+    """Normal Q-Q points at ``m`` Filliben positions: the theoretical
+    normal quantile (a literal per position, ``m`` is a parameter) against
+    the exact sample quantile from one aggregation."""
+    from statistics import NormalDist
+    probs = filliben_positions(m)
+    nd = NormalDist()
+    theo = df.sparkSession.createDataFrame(
+        [(i, p, nd.inv_cdf(p)) for i, p in enumerate(probs)], "i int, p double, theoretical double")
+    q = df.agg(F.percentile(col, probs).alias("q")).select(F.posexplode("q").alias("i", "sample"))
+    return (F.broadcast(theo).join(q, "i")
+            .select("i", fin("p").alias("p"), fin("theoretical").alias("theoretical"), fin("sample").alias("sample")))
+
+
+def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
+    """Gaussian kernel density per group on a ``grid``-point axis
+    (Scott bandwidth = sample std x n^(-1/5); axis from min - cut*h to
+    max + cut*h). Each row meets the grid inside its own task (an explode of
+    ``sequence``), so only (group, grid point) partial sums are shuffled."""
+    import math
+    st = (df.groupBy(by).agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
+                             F.min(col).alias("mn"), F.max(col).alias("mx"))
+          .withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))))
+    st = st.withColumns({"lo": F.col("mn") - cut * F.col("h"), "hi": F.col("mx") + cut * F.col("h")}) \
+           .withColumn("step", (F.col("hi") - F.col("lo")) / (grid - 1))
+    rows = df.select(by, F.col(col).alias("_x")).filter(F.col("_x").isNotNull()).join(st, by)
+    pts = rows.select(by, "_x", "n", "h", "lo", "step",
+                      F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
+    z = (F.col("lo") + F.col("gi") * F.col("step") - F.col("_x")) / F.col("h")
+    dens = (pts.groupBy(by, "gi").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"), F.first("n").alias("n"),
+                                      F.first("h").alias("h"), F.first("lo").alias("lo"),
+                                      F.first("step").alias("step")))
+    return dens.select(by, "gi", fin(F.col("lo") + F.col("gi") * F.col("step")).alias("x"),
+                       fin(F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))

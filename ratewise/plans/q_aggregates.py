@@ -407,3 +407,66 @@ _FLAG_SQL = {
 FROM bookings""" for n, c in _FLAG_SQL.items())))
 def g45_premium_pct(spark, d):
     return A.premium_pct(_b(spark, d))
+
+
+# --- G24 / G44 point sets, G42 Q-Q points, G43 kernel density -------------
+def _sql_hash_order(keys, seed):
+    from ratewise.plans.q_clean import _sql_hash
+    return _sql_hash(keys, seed)
+
+
+_PKEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("g24_competitor_points", with_bookings(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {R('competitor_max_price - competitor_min_price')} AS comp_spread,
+       {R('actual_price / base_price')} AS price_premium, actual_price, competitor_avg_price FROM bookings
+ORDER BY {_sql_hash_order(_PKEYS, 42)}, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 2000"""))
+def g24_competitor_points(spark, d):
+    from pyspark.sql import functions as F
+    from ratewise.functions.columns import fin
+    from ratewise.operators.clean import sample_n
+    s = sample_n(_b(spark, d), 2000, 42, _PKEYS)
+    return s.select(*_PKEYS, fin(F.col("competitor_max_price") - F.col("competitor_min_price")).alias("comp_spread"),
+                    fin(F.col("actual_price") / F.col("base_price")).alias("price_premium"),
+                    "actual_price", "competitor_avg_price")
+
+
+@query("g44_points", with_bookings(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, occupancy_rate, demand_score, event_magnitude, actual_price
+FROM bookings ORDER BY {_sql_hash_order(_PKEYS, 99)}, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 3000"""))
+def g44_points(spark, d):
+    from ratewise.operators.clean import sample_n
+    s = sample_n(_b(spark, d), 3000, 99, _PKEYS)
+    return s.select(*_PKEYS, "occupancy_rate", "demand_score", "event_magnitude", "actual_price")
+
+
+def _sql_qq(col, m):
+    from statistics import NormalDist
+    from ratewise.plans.oracle import D
+    probs = A.filliben_positions(m)
+    nd = NormalDist()
+    vals = ", ".join(f"({i}, {D(p)}, {D(nd.inv_cdf(p))})" for i, p in enumerate(probs))
+    plist = ", ".join(D(p) for p in probs)
+    return with_bookings(f"""
+SELECT t.i, {R('t.p')} AS p, {R('t.z')} AS theoretical, {R('q[t.i + 1]')} AS sample
+FROM (SELECT quantile_cont({col}, [{plist}]) AS q FROM bookings) s, (VALUES {vals}) t(i, p, z)""")
+
+
+@query("g42_qq_points", _sql_qq("actual_price", 200))
+def g42_qq_points(spark, d):
+    return A.qq_points(_b(spark, d), "actual_price", 200)
+
+
+@query("g43_kde_by_hotel", with_bookings(f"""
+SELECT hotel_name, gi, {R('lo + gi * step')} AS x,
+       {R('sum(exp(-0.5e0 * ((lo + gi * step - v) / h) * ((lo + gi * step - v) / h))) / (n * h * 2.5066282746310002e0)')} AS density
+FROM (SELECT b.hotel_name, b.actual_price AS v, k.n, k.h, k.lo, k.step, CAST(g.range AS INT) AS gi
+      FROM bookings b JOIN kst k USING (hotel_name), range(0, 200) g WHERE b.actual_price IS NOT NULL) t
+GROUP BY hotel_name, gi, lo, step, n, h""",
+    """kst0 AS (SELECT hotel_name, count(actual_price) AS n, stddev_samp(actual_price) * pow(count(actual_price), -0.2e0) AS h,
+                min(actual_price) AS mn, max(actual_price) AS mx FROM bookings GROUP BY hotel_name)""",
+    """kst AS (SELECT hotel_name, n, h, mn - 3e0 * h AS lo, ((mx + 3e0 * h) - (mn - 3e0 * h)) / 199 AS step FROM kst0)"""))
+def g43_kde_by_hotel(spark, d):
+    return A.kde(_b(spark, d), "actual_price", "hotel_name", 200, 3.0)
