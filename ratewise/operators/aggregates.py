@@ -340,17 +340,18 @@ def monthly_series(df: DataFrame) -> DataFrame:
 
 
 PREMIUM_FLAGS = {
-    "weekend": F.col("is_weekend") == 1,
-    "event_day": F.col("event_type") != "None",
-    "last_minute": F.col("lead_time_days") <= 3,
-    "jul_aug": F.col("month").isin(7, 8),
+    "weekend": lambda: F.col("is_weekend") == 1,
+    "event_day": lambda: F.col("event_type") != "None",
+    "last_minute": lambda: F.col("lead_time_days") <= 3,
+    "jul_aug": lambda: F.col("month").isin(7, 8),
 }
 
 
 def premium_pct(df: DataFrame) -> DataFrame:
     """Price premium of each flagged group over the rest, one pass."""
     aggs = []
-    for name, cond in PREMIUM_FLAGS.items():
+    for name, make in PREMIUM_FLAGS.items():
+        cond = make()
         aggs += [F.avg(F.when(cond, F.col(TARGET))).alias(f"{name}__in"),
                  F.avg(F.when(~cond, F.col(TARGET))).alias(f"{name}__out")]
     row = df.agg(*aggs)

@@ -53,11 +53,14 @@ def raw_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def to_bookings(raw: DataFrame, key: str = "booking_id", seed: int = 42) -> DataFrame:
     """C1 (adr > 5), C2 (rename/map), C3 (children null -> 0), S3 (date from
     month name), D1-D3 calendar, D4-D11 seeded augmentation, D12 split."""
-    keys = [key] if key in raw.columns else ["hotel", "arrival_date_year", "arrival_date_day_of_month"]
+    if key not in raw.columns:
+        # no id column: a deterministic non-negative hash of the whole raw row
+        raw = raw.withColumn(key, F.pmod(F.xxhash64(*raw.columns), F.lit(2 ** 62)))
+    keys = [key]
     paid = raw.filter(F.col("adr") > 5)
     d = arrival_date("arrival_date_year", "arrival_date_month", "arrival_date_day_of_month")
     base = paid.select(
-        *[F.col(k) for k in keys if k == key],
+        F.col(key),
         rnd("adr", 2).alias("actual_price"),
         F.col("lead_time").alias("lead_time_days"),
         F.greatest(F.col("stays_in_weekend_nights") + F.col("stays_in_week_nights"), F.lit(1)).alias("length_of_stay"),
