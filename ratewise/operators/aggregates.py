@@ -90,16 +90,30 @@ def price_by_event_flag(df: DataFrame) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Every Pearson pair in one aggregation pass, long form, lower-triangle flag."""
+    """Pearson matrix, long form, with a lower-triangle flag.
+
+    Two passes with small aggregation buffers: the column means (one row,
+    broadcast), then the sums of centred products and squares -- k(k+1)/2
+    sums in all, numerically stable because the data are centred first.
+    Rows with a null in any of the columns are left out of every pair
+    (pandas uses pairwise-complete rows; the bookings columns have no nulls).
+    """
     cols = list(cols)
     n = len(cols)
-    row = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}")
-                   for i in range(n) for j in range(i + 1)])
+    src = df.select(*cols).dropna()
+    means = src.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
+    cen = src.crossJoin(F.broadcast(means)).select(
+        *[(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
+    sums = cen.agg(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}")
+                     for i in range(n) for j in range(i + 1)])
+
+    def r(i, j):
+        a, b = max(i, j), min(i, j)
+        return F.col(f"s{a}_{b}") / F.sqrt(F.col(f"s{a}_{a}") * F.col(f"s{b}_{b}"))
     cells = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                      F.col(f"c{max(i, j)}_{min(i, j)}").alias("corr"),
-                      F.lit(int(j < i)).alias("lower"))
+                      r(i, j).alias("corr"), F.lit(int(j < i)).alias("lower"))
              for i in range(n) for j in range(n)]
-    return (row.select(F.explode(F.array(*cells)).alias("p"))
+    return (sums.select(F.explode(F.array(*cells)).alias("p"))
             .select("p.col_a", "p.col_b", fin("p.corr").alias("corr"), "p.lower"))
 
 

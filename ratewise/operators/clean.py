@@ -58,10 +58,13 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return df
-    stats = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}__nulls") for c in cols],
-                   *[F.percentile(F.col(c), 0.5).alias(f"{c}__med") for c in cols]).first()
-    fills = {c: F.coalesce(F.col(c), F.lit(stats[f"{c}__med"]))
-             for c in cols if stats[f"{c}__nulls"] and stats[f"{c}__med"] is not None}
+    # cheap pass first (null counts), exact medians only where there are nulls
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    todo = [c for c in cols if nulls[c]]
+    if not todo:
+        return df
+    med = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in todo]).first()
+    fills = {c: F.coalesce(F.col(c), F.lit(med[c])) for c in todo if med[c] is not None}
     return df.withColumns(fills) if fills else df
 
 
@@ -147,8 +150,13 @@ def partition(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Steps C7 -> C8 -> C9 -> C10 -> C11 in the reference's order."""
-    out = impute_median(df)
+    """Steps C7 -> C8 -> C9 -> C10 -> C11 in the reference's order.
+
+    The input is written once first: the statistics passes (nulls, medians,
+    modes, fences) then scan it instead of re-deriving it each time.
+    """
+    from ratewise.session import cut_lineage
+    out = impute_median(cut_lineage(df))
     out = impute_mode(out)
     out = dedupe(out)
     out = enforce_types(out)

@@ -139,14 +139,30 @@ def label_maps(df: DataFrame, cols: Sequence[str] = ENCODED_COLS) -> DataFrame:
     return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
+LITERAL_MAP_LIMIT = 1_000
+
+
 def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS,
-                 maps: DataFrame | None = None) -> DataFrame:
-    """``<col>_enc`` codes by joining each column to its mapping rows."""
+                 maps: DataFrame | None = None, literal_limit: int = LITERAL_MAP_LIMIT) -> DataFrame:
+    """``<col>_enc`` codes from the mapping table.
+
+    Size-checked: when the mapping table has at most ``literal_limit`` rows
+    it is read once and applied as literal map lookups inside one projection
+    (no join, no shuffle); beyond that each column is joined to its mapping
+    rows (a shuffle join, or AQE's broadcast when the runtime size allows).
+    """
     from ratewise.session import cut_lineage
     cols = [c for c in cols if c in df.columns]
-    # The mapping table is small; writing it once keeps each of the joins
-    # below a scan of it instead of a re-derivation of ``df``.
     maps = cut_lineage(maps if maps is not None else label_maps(df, cols))
+    rows = maps.limit(literal_limit + 1).collect()
+    if len(rows) <= literal_limit:
+        lookups = {}
+        for c in cols:
+            pairs = sorted((r["value"], r["code"]) for r in rows if r["column"] == c)
+            lit_map = F.create_map(*[F.lit(x) for kv in pairs for x in kv]) if pairs else None
+            lookups[f"{c}_enc"] = (lit_map[F.col(c).cast("string")] if lit_map is not None
+                                   else F.lit(None).cast("int"))
+        return df.withColumns(lookups)
     out = df
     for c in cols:
         m = (maps.filter(F.col("column") == c)
