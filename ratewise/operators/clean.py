@@ -75,10 +75,14 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols)
     if not cols:
         return df
-    stats = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}__nulls") for c in cols],
-                   *[F.mode(F.col(c), True).alias(f"{c}__mode") for c in cols]).first()
-    fills = {c: F.coalesce(F.col(c), F.lit(stats[f"{c}__mode"]))
-             for c in cols if stats[f"{c}__nulls"] and stats[f"{c}__mode"] is not None}
+    # a mode keeps a value->count map per column, so only columns that have
+    # nulls pay for one
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    todo = [c for c in cols if nulls[c]]
+    if not todo:
+        return df
+    modes = df.agg(*[F.mode(F.col(c), True).alias(c) for c in todo]).first()
+    fills = {c: F.coalesce(F.col(c), F.lit(modes[c])) for c in todo if modes[c] is not None}
     return df.withColumns(fills) if fills else df
 
 

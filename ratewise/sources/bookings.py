@@ -161,35 +161,43 @@ def mark_test(df: DataFrame, frac: float = 0.8, date_col: str = "checkin_date")
             .drop("split_date"))
 
 
-# sf_dir -> path of a written bookings table (see ``materialize``).
-_MATERIALIZED: dict[str, str] = {}
+# sf_dir -> (path of the written valid bookings, split date)
+_MATERIALIZED: dict[str, tuple[str, object]] = {}
 
 
 def bookings(spark: SparkSession, sf_dir: str, split: bool = True) -> DataFrame:
     """C1 + C2 + C3 + D1-D3 + D5-D12 over the driver tables.
 
     When the table for ``sf_dir`` has been written by ``materialize`` in this
-    process, it is scanned from there instead of re-joined.
+    process, it is scanned from there instead of re-joined, and ``is_test``
+    is a comparison with the stored split date (a literal, so a filter on it
+    becomes a pushed-down date filter).
     """
-    path = _MATERIALIZED.get(sf_dir)
-    if path is not None and split:
-        return spark.read.parquet(path)
+    hit = _MATERIALIZED.get(sf_dir)
+    if hit is not None:
+        path, split_date = hit
+        df = spark.read.parquet(path)
+        if not split:
+            return df
+        return df.withColumn("is_test", (F.col("checkin_date") >= F.lit(split_date)).cast("int"))
     df = valid_rates(derive(star_join(spark, sf_dir)))
     return mark_test(df) if split else df
 
 
 def materialize(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """Write the bookings table once (the lineage cut every analysis reads).
+    """Write the valid bookings once (the lineage cut every analysis reads).
 
-    The target is under the shared checkpoint folder unless given, so any
-    executor can read it back and a lost executor costs no recomputation of
-    the joins.
+    The star join runs once; the split date then comes from a one-column scan
+    of the written table. The target is under the shared checkpoint folder
+    unless given, so any executor can read it back and a lost executor costs
+    no recomputation of the joins.
     """
     from ratewise.session import scratch_path
     _MATERIALIZED.pop(sf_dir, None)
     path = path or scratch_path(spark, "bookings")
-    bookings(spark, sf_dir).write.mode("overwrite").parquet(path)
-    _MATERIALIZED[sf_dir] = path
+    valid_rates(derive(star_join(spark, sf_dir))).write.mode("overwrite").parquet(path)
+    split_date = split_cutoff(spark.read.parquet(path).select("checkin_date")).first()["split_date"]
+    _MATERIALIZED[sf_dir] = (path, split_date)
     return path
 
 
