@@ -174,10 +174,14 @@ def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS,
 
 def scaler_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population std of every column (nulls as 0), one pass."""
-    row = df.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"{c}__m") for c in cols],
-                 *[F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"{c}__s")
-                   for c in cols]).first()
-    return {c: (row[f"{c}__m"], row[f"{c}__s"]) for c in cols}
+    # Two passes with small aggregation buffers: means, then centred squares.
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    means = df.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(x[c]).alias(c) for c in cols]).first()
+    n = means["__n"]
+    if not n:
+        return {c: (None, None) for c in cols}
+    sq = df.agg(*[F.sum((x[c] - F.lit(means[c])) * (x[c] - F.lit(means[c]))).alias(c) for c in cols]).first()
+    return {c: (means[c], (sq[c] / n) ** 0.5) for c in cols}
 
 
 def standardize(df: DataFrame, cols: Sequence[str], stats: dict | None = None) -> DataFrame:
