@@ -316,26 +316,61 @@ def permute_column(df: DataFrame, col: str, seed: int, keys: Sequence[str] = SPL
 
 def permutation_importance(model, test: DataFrame, cols: Sequence[str] = FEATURE_COLS,
                            repeats: int = 15, seed: int = 42, top: int = 20,
-                           stats: dict | None = None) -> DataFrame:
-    """Mean and std of the R2 drop when one raw feature is permuted."""
-    base_r2 = metrics(model.transform(test)).first()["r2"]
+                           stats: dict | None = None, keys: Sequence[str] = SPLIT_KEYS,
+                           bucket_rows: int = 1024, permute: Sequence[str] | None = None) -> DataFrame:
+    """Mean and std of the R2 drop when one feature is permuted (all
+    features, or only those in ``permute``).
+
+    One scoring job for all ``len(cols) x repeats`` variants:
+
+    1. per repeat, every test row gets a partner row -- the row of equal rank
+       inside the same hash bucket under a second hash order (a permutation
+       within buckets of ~``bucket_rows`` rows, so each window holds one
+       bucket); the join is on (repeat, bucket, rank);
+    2. each (row, repeat) pair is expanded to one variant per feature inside
+       the scoring stage, with that feature's scaled value taken from the
+       partner, and scored by the model;
+    3. squared errors are summed per (feature, repeat) with partial
+       aggregation, so only ``len(cols) x repeats`` partial rows are shuffled.
+    """
+    from pyspark.ml.functions import array_to_vector
+    cols = list(cols)
     n = test.count()
-    scaled = [f"{c}_scaled" for c in cols]
-    asm = VectorAssembler(inputCols=scaled, outputCol=model.getFeaturesCol())
-    raw = test.drop(model.getFeaturesCol(), *scaled)
-    rows = []
-    for c in cols:
-        drops = []
-        for r in range(repeats):
-            perm = permute_column(raw, c, seed + 31 * r, n_rows=n)
-            v = asm.transform(standardize(perm, cols, stats))
-            drops.append(base_r2 - metrics(model.transform(v)).first()["r2"])
-        mean = sum(drops) / repeats
-        std = (sum((x - mean) ** 2 for x in drops) / repeats) ** 0.5
-        rows.append((c, float(mean), float(std)))
-    spark = test.sparkSession
-    out = spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
-    return out.orderBy(F.col("importance_mean").desc(), "feature").limit(top)
+    stats = stats or scaler_stats(test, cols)
+    base = standardize(test, cols, stats).select(
+        *keys, TARGET, F.array(*[F.col(f"{c}_scaled") for c in cols]).alias("xs"))
+    base = base.withColumn("_row", row_hash(keys, seed + 101) * F.lit(1_000_003) + row_hash(keys, seed + 103))
+    buckets = max(1, n // bucket_rows)
+    parts = []
+    for r in range(repeats):
+        b = (row_hash(keys, seed + 31 * r) % buckets).alias("_b")
+        h1, h2 = row_hash(keys, seed + 31 * r + 7), row_hash(keys, seed + 31 * r + 13)
+        t = base.select("*", b, h1.alias("_h1"), h2.alias("_h2"))
+        recv = t.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h1", "_row")))
+        donor = t.select("_b", F.col("xs").alias("pxs"),
+                         F.row_number().over(Window.partitionBy("_b").orderBy("_h2", "_row")).alias("_i"))
+        parts.append(recv.join(donor, ["_b", "_i"]).select(F.lit(r).alias("rep"), TARGET, "xs", "pxs"))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    which = [cols.index(c) for c in permute] if permute is not None else list(range(len(cols)))
+    variants = pairs.select("rep", TARGET, "xs", "pxs",
+                            F.explode(F.array(*[F.lit(i) for i in which])).alias("fi"))
+    swapped = F.transform("xs", lambda x, i: F.when(i == F.col("fi"), F.col("pxs")[i]).otherwise(x))
+    scored = model.transform(variants.withColumn(model.getFeaturesCol(), array_to_vector(swapped)))
+    err = F.col(TARGET) - F.col("prediction")
+    sse = scored.groupBy("fi", "rep").agg(F.sum(err * err).alias("sse"))
+    base_pred = model.transform(base.withColumn(model.getFeaturesCol(), array_to_vector("xs")))
+    tot = base_pred.agg(F.sum((F.col(TARGET) - F.col("prediction")) ** 2).alias("sse0"),
+                        (F.var_pop(TARGET) * F.count(TARGET)).alias("sst"))
+    drop = sse.crossJoin(F.broadcast(tot)).select(
+        "fi", ((F.col("sse") - F.col("sse0")) / F.col("sst")).alias("d"))
+    names = test.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "fi int, feature string")
+    out = (drop.groupBy("fi").agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_std"))
+           .join(F.broadcast(names), "fi"))
+    return (out.select("feature", fin("importance_mean").alias("importance_mean"),
+                       fin("importance_std").alias("importance_std"))
+            .orderBy(F.col("importance_mean").desc(), "feature").limit(top))
 
 
 def importance_compare(builtin: DataFrame, permuted: DataFrame, top: int = 10) -> DataFrame:

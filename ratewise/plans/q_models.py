@@ -171,3 +171,31 @@ def p02_model_price(spark, d):
     ctx = P.price_context(scored.withColumn("model_price", fin("prediction", 2)), "model_price")
     return ctx.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model_price",
                       "vs_base_pct", "vs_comp_pct", "expected_revenue")
+
+
+def _perm_model(spark, d):
+    """Gradient boosting (150 rounds, depth 5, rate 0.1) on the chronological
+    train split, plus the test rows and the train scaling statistics."""
+    from ratewise.session import cut_lineage
+    table = cut_lineage(M.model_table(bookings(spark, d)))
+    train, test = M.chrono_split(table)
+    stats = scaler_stats(train, FEATURE_COLS)
+    tv, (te,) = M.vectorize(train, [test], FEATURE_COLS)
+    model = M.estimator("gbt", n_iter=150, max_depth=5, step=0.1).fit(tv)
+    return model, te, stats
+
+
+@query("m22_permutation_importance")
+def m22_permutation_importance(spark, d):
+    model, te, stats = _perm_model(spark, d)
+    return M.permutation_importance(model, te, FEATURE_COLS, repeats=15, seed=42, top=20, stats=stats)
+
+
+@query("m23_importance_compare")
+def m23_importance_compare(spark, d):
+    model, te, stats = _perm_model(spark, d)
+    builtin = M.importances(model, FEATURE_COLS, 10)
+    top10 = [r.feature for r in builtin.collect()]
+    perm = M.permutation_importance(model, te, FEATURE_COLS, repeats=15, seed=42, top=10,
+                                    stats=stats, permute=top10)
+    return M.importance_compare(builtin, perm, top=10)
