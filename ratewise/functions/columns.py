@@ -122,3 +122,23 @@ def sample_skew(x: str | Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
+
+
+# Session setting that switches every quantile statistic of the library from
+# exact ``percentile`` (value->count maps, the default, needed for oracle
+# parity) to ``percentile_approx`` sketches with this accuracy (bounded memory
+# per group whatever the number of distinct values).
+QUANTILE_CONF = "spark.ratewise.quantileAccuracy"
+
+
+def quantile(x: str | Column, p, accuracy: int | None = None) -> Column:
+    """Quantile(s) ``p`` of ``x``: exact unless ``accuracy`` is given or the
+    session sets ``spark.ratewise.quantileAccuracy``."""
+    if accuracy is None:
+        from pyspark.sql import SparkSession
+        s = SparkSession.getActiveSession()
+        conf = s.conf.get(QUANTILE_CONF, None) if s is not None else None
+        accuracy = int(conf) if conf else None
+    if accuracy:
+        return F.percentile_approx(c(x), p, accuracy)
+    return F.percentile(c(x), p)

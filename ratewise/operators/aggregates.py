@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
+    quantile,
     DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR, fin, lead_time_bucket, occ_band,
     relabel, sample_skew, year_month,
 )
@@ -165,7 +166,7 @@ def box_stats(df: DataFrame, by: str, y: str = TARGET) -> DataFrame:
     the whiskers need a second pass, so the per-group fences are joined back
     to the rows on the group key.
     """
-    q = (df.groupBy(by).agg(F.percentile(y, [0.25, 0.5, 0.75]).alias("q"))
+    q = (df.groupBy(by).agg(quantile(y, [0.25, 0.5, 0.75]).alias("q"))
          .select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3")))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
@@ -188,7 +189,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, median, bias-corrected skew per column, one pass over the rows."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.percentile(c, 0.5).alias(f"{c}__median"),
+        aggs += [F.avg(c).alias(f"{c}__mean"), quantile(c, 0.5).alias(f"{c}__median"),
                  sample_skew(c).alias(f"{c}__skew")]
     row = df.agg(*aggs)
     stack = F.explode(F.array(*[
@@ -392,7 +393,7 @@ def qq_points(df: DataFrame, col: str, m: int = 200) -> DataFrame:
     nd = NormalDist()
     theo = df.sparkSession.createDataFrame(
         [(i, p, nd.inv_cdf(p)) for i, p in enumerate(probs)], "i int, p double, theoretical double")
-    q = df.agg(F.percentile(col, probs).alias("q")).select(F.posexplode("q").alias("i", "sample"))
+    q = df.agg(quantile(col, probs).alias("q")).select(F.posexplode("q").alias("i", "sample"))
     return (F.broadcast(theo).join(q, "i")
             .select("i", fin("p").alias("p"), fin("theoretical").alias("theoretical"), fin("sample").alias("sample")))
 

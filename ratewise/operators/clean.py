@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import c as col_of, clip, fin, rnd
+from ratewise.functions.columns import c as col_of, clip, fin, rnd, quantile
 from ratewise.operators.profile import numeric_columns
 
 # --- fixed values --------------------------------------------------------
@@ -63,7 +63,7 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     todo = [c for c in cols if nulls[c]]
     if not todo:
         return df
-    med = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in todo]).first()
+    med = df.agg(*[quantile(F.col(c), 0.5).alias(c) for c in todo]).first()
     fills = {c: F.coalesce(F.col(c), F.lit(med[c])) for c in todo if med[c] is not None}
     return df.withColumns(fills) if fills else df
 
@@ -101,7 +101,7 @@ def enforce_types(df: DataFrame) -> DataFrame:
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> dict[str, tuple]:
     """Exact Q1/Q3 of every column in one pass; returns {col: (q1, q3, lo, hi)}."""
-    row = df.agg(*[F.percentile(F.col(c), [0.25, 0.75]).alias(c) for c in cols]).first()
+    row = df.agg(*[quantile(F.col(c), [0.25, 0.75]).alias(c) for c in cols]).first()
     out = {}
     for c in cols:
         q1, q3 = row[c]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
-    EVENT_PREMIUM, cyclic, lead_time_bucket, map_lookup, rnd,
+    EVENT_PREMIUM, cyclic, lead_time_bucket, map_lookup, quantile, rnd,
 )
 
 # --- fixed values: model feature list and encoded columns -----------------
@@ -204,10 +204,7 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=present, outputCol=out).transform(filled)
 
 
-def qcut_edges(df: DataFrame, col: str, q: int) -> list[float]:
-    """exact quantile edges at 0, 1/q, ..., 1, duplicates dropped."""
-    probs = [i / q for i in range(q + 1)]
-    edges = df.agg(F.percentile(F.col(col), probs).alias("e")).first()["e"]
+def _dedupe_edges(edges) -> list[float]:
     out: list[float] = []
     for e in edges:
         if not out or e != out[-1]:
@@ -215,6 +212,18 @@ def qcut_edges(df: DataFrame, col: str, q: int) -> list[float]:
     return out
 
 
+def qcut_edges(df: DataFrame, col: str, q: int) -> list[float]:
+    """exact quantile edges at 0, 1/q, ..., 1, duplicates dropped."""
+    return qcut_edges_many(df, [col], q)[col]
+
+
+def qcut_edges_many(df: DataFrame, cols: Sequence[str], q: int) -> dict[str, list[float]]:
+    """F18 for several columns in one aggregation pass."""
+    probs = [i / q for i in range(q + 1)]
+    row = df.agg(*[quantile(F.col(c), probs).alias(c) for c in cols]).first()
+    return {c: _dedupe_edges(row[c]) for c in cols}
+
+
 def qcut(df: DataFrame, col: str, q: int, name: str | None = None,
          edges: Sequence[float] | None = None) -> DataFrame:
     """``pd.qcut(labels=False)``: right-closed bins, lowest edge included."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import fin
-from ratewise.operators.features import qcut, qcut_edges
+from ratewise.operators.features import qcut, qcut_edges_many
 
 # --- fixed values --------------------------------------------------------
 ACTIONS_11 = [0.80, 0.85, 0.90, 0.95, 1.00, 1.05, 1.10, 1.15, 1.20, 1.25, 1.30]
@@ -34,8 +34,10 @@ def policy_state(df: DataFrame, kind: str = "market") -> DataFrame:
             "s_price": F.least(F.floor(F.col("base_price") / 100), F.lit(4)).cast("int"),
         }).withColumn("state", F.concat_ws("-", F.col("s_occ").cast("string"), F.col("s_price").cast("string")))
     out = df
-    for src, name in (("demand_score", "s_dem"), ("occupancy_rate", "s_occ"), ("competitor_avg_price", "s_cmp")):
-        out = qcut(out, src, 4, name=name, edges=qcut_edges(df, src, 4))
+    pairs = (("demand_score", "s_dem"), ("occupancy_rate", "s_occ"), ("competitor_avg_price", "s_cmp"))
+    edges = qcut_edges_many(df, [src for src, _ in pairs], 4)  # one pass for the three edge sets
+    for src, name in pairs:
+        out = qcut(out, src, 4, name=name, edges=edges[src])
     out = out.withColumn("s_evt", (F.col("event_type") != "None").cast("int"))
     return out.withColumn("state", F.concat_ws("-", *[F.coalesce(F.col(c), F.lit(0)).cast("string")
                                                       for c in ("s_dem", "s_occ", "s_cmp", "s_evt")]))
