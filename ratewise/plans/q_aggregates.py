@@ -470,3 +470,21 @@ GROUP BY hotel_name, gi, lo, step, n, h""",
     """kst AS (SELECT hotel_name, n, h, mn - 3e0 * h AS lo, ((mx + 3e0 * h) - (mn - 3e0 * h)) / 199 AS step FROM kst0)"""))
 def g43_kde_by_hotel(spark, d):
     return A.kde(_b(spark, d), "actual_price", "hotel_name", 200, 3.0)
+
+
+@query("g12_price_histogram_by_room_type", sql_histogram("actual_price", 50, by="room_type"))
+def g12_price_histogram_by_room_type(spark, d):
+    return A.histogram(_b(spark, d), "actual_price", 50, by="room_type")
+
+
+_COMP = ["competitor_price_1", "competitor_price_2", "competitor_price_3"]
+
+
+@query("g12_competitor_histograms", sql_histogram(
+    "price", 50, by="competitor", source="cu",
+    extra_ctes=("cu AS (" + " UNION ALL ".join(f"SELECT '{c}' AS competitor, {c} AS price FROM bookings"
+                                              for c in _COMP) + ")",)))
+def g12_competitor_histograms(spark, d):
+    """One histogram per competitor price column (columns unpivoted to rows)."""
+    long = _b(spark, d).unpivot([], _COMP, "competitor", "price")
+    return A.histogram(long, "price", 50, by="competitor")

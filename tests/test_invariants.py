@@ -114,3 +114,12 @@ def test_pca_matches_numpy_eigen(bookings_small):
 def test_avg_path_known_values():
     assert AN.avg_path(1) == 0.0 and AN.avg_path(2) == 1.0
     assert AN.avg_path(256) == pytest.approx(2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256)
+
+
+def test_binned_kde_close_to_exact(bookings_small):
+    exact = {(r.hotel_name, r.gi): r.density for r in A.kde(bookings_small, "actual_price", "hotel_name", 100).collect()}
+    binned = {(r.hotel_name, r.gi): r.density
+              for r in A.kde(bookings_small, "actual_price", "hotel_name", 100, bins=4096).collect()}
+    peak = max(exact.values())
+    assert exact.keys() == binned.keys()
+    assert max(abs(exact[k] - binned[k]) for k in exact) < 0.01 * peak
