@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ratewise.operators import models as M
 from ratewise.operators import series as S
@@ -125,4 +124,3 @@ def test_poly_fit_matches_numpy(spark):
     fc = S.forecast(s, model, t_max, 5).orderBy("ds").collect()
     expect = [3 + 0.5 * k - 0.02 * k ** 2 + 0.0004 * k ** 3 for k in range(40, 45)]
     assert [r.forecast for r in fc] == pytest.approx(expect, abs=1e-4)
-    assert F is not None
