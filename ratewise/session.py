@@ -87,13 +87,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def cut_lineage(df):
-    """Reliable lineage cut: ``checkpoint()`` into the shared checkpoint folder.
-
-    Used before fit loops and multi-way reuse so plans stay small and a lost
-    executor re-reads the written data instead of recomputing the joins.
+    """Reliable lineage cut: write ``df`` as a Parquet table under the shared
+    checkpoint folder and scan it back.
+
+    Computes the plan once (``Dataset.checkpoint`` runs it twice unless the
+    data is also cached), and the later passes read only the columns they
+    need with real size statistics for the optimizer. A lost executor re-reads
+    written files instead of recomputing the joins. Never a machine-local
+    folder, never ``localCheckpoint``.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set[str] = set()
