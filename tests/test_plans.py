@@ -58,3 +58,19 @@ def test_quantile_switch_to_sketches(spark, materialized):
     finally:
         spark.conf.unset(QUANTILE_CONF)
     assert approx == pytest.approx(exact, rel=0.01)
+
+
+def test_sketch_options_track_exact(materialized):
+    from ratewise.operators import profile as P
+    cols = ["actual_price", "occupancy_rate", "lead_time_days"]
+    ex = {r.column: r for r in P.describe(materialized, cols).collect()}
+    ap = {r.column: r for r in P.describe(materialized, cols, exact=False).collect()}
+    for c in cols:
+        assert ap[c].count == ex[c].count and ap[c].mean == ex[c].mean
+        span = ex[c].max - ex[c].min
+        for q in ("p25", "p50", "p75"):
+            assert abs(getattr(ap[c], q) - getattr(ex[c], q)) <= 0.01 * span
+    card = ["hotel_name", "room_type", "market_segment"]
+    e = {r.column: r.n_distinct for r in P.cardinality(materialized, card).collect()}
+    a = {r.column: r.n_distinct for r in P.cardinality(materialized, card, exact=False).collect()}
+    assert all(abs(a[c] - e[c]) <= max(1, 0.05 * e[c]) for c in card)
