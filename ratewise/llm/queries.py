@@ -43,3 +43,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ratewise.llm.jaccard import jaccard_components
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0
+                  ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2 * source_size AS cap, (place_ % 3)::INT AS place, [5, 2, 1][(place_ % 3) + 1] AS weight
+      FROM (SELECT *, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS place_ FROM src)),
+o AS (SELECT *, row_number() OVER o AS position, sum(cap) OVER o - cap AS caps_before, sum(weight) OVER o - weight AS weight_before,
+             sum(source_size) OVER () AS words, sum(weight) OVER () AS weights
+      FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, source COLLATE "C" NULLS LAST)),
+lv AS (SELECT (words * 3)::DOUBLE / 2 - caps_before AS num, (weights - weight_before)::DOUBLE AS den FROM o
+       WHERE ((words * 3)::DOUBLE / 2 - caps_before) * weight <= cap::DOUBLE * (weights - weight_before) ORDER BY position LIMIT 1),
+t AS (SELECT source, source_size, place, least(cap::DOUBLE, weight * num / den) AS target FROM o, lv),
+c AS (SELECT d.*, source_size, place, target, floor(target + 0.5)::BIGINT AS whole,
+             (sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id NULLS FIRST, size
+                              ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS c
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (least(greatest(whole - c, 0), size) + least(greatest(whole - source_size - c, 0), size))::BIGINT AS taken
+FROM c
+"""
+
+
+@query("op7_mixing", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.mixing import plan
+    out = plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return (out.repartitionByRange("position").sortWithinPartitions("position")
+            .select("doc_id", "size", "source_size", "target", "taken"))
