@@ -67,6 +67,27 @@ FROM c
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE
+one AS (SELECT vec_id, min({v: embedding, l: label}) FILTER (WHERE label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+          AND len(list_filter(embedding, lambda e: e <> 0)) > 0) AS u FROM embeddings GROUP BY vec_id),
+e AS (SELECT vec_id, u.l AS label, u.v::DOUBLE[] AS v FROM one WHERE u IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+          AND len(a.v) = len(b.v)
+          WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS to_ FROM one UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.to_ = links.a),
+c AS (SELECT id, min(to_) AS component_id FROM reach GROUP BY id)
+SELECT c.id AS vec_id, (SELECT count(*) FROM links WHERE links.a = c.id) AS n_links, component_id, c.id = component_id AS kept FROM c
+"""
+
+
+@query("op1_near_vectors", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.near_vectors import near_vectors
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op7_mixing", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ratewise.llm.mixing import plan
