@@ -94,3 +94,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return (out.repartitionByRange("position").sortWithinPartitions("position")
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) FILTER (WHERE len(embedding) > 0
+             AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL GROUP BY vec_id),
+c AS (SELECT vec_id, list_transform(e, lambda x: floor(x * 64)) AS e FROM v WHERE e IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM c q JOIN c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query("op4_bit_slices", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.bit_slices import top_k
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
