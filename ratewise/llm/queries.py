@@ -142,3 +142,95 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "conv_id long, turn long, role string, text string")
     return (read_back(format_conversations(rows.unionByName(probe)))
             .select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))
+
+
+@query("op2_training_order")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.training_order import training_order
+    out = training_order(read(spark, sf_dir, "documents").select("doc_id", "text"), key=20_240_817)
+    return out.select("slot", "sequence", "first_doc", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def _licence_sql() -> str:
+    """The operator's tables as SQL values."""
+    from ratewise.llm.licences import RULES, SENTENCES, _sequence
+    table = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    rules = sorted(RULES, key=lambda r: -len(r[1]))
+    steps, found = ["seq"], []
+    for name, ids in rules:
+        found.append(f"CASE WHEN contains({steps[-1]}, '{_sequence(ids)}') THEN '{name}' END")
+        steps.append(f"replace({steps[-1]}, '{_sequence(ids)}', '|')")
+    return rf"""
+WITH known(s, id) AS (VALUES {table}),
+cut AS (SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g')),
+               '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS parts FROM documents),
+one AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS n FROM cut),
+seqs AS (SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY n) AS seq, count(*) AS n FROM one JOIN known ON trim(p, ' ') = s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_known, coalesce(seq, '') AS sequence,
+       coalesce(list_aggregate(list_sort(list_distinct(list_filter([{", ".join(found)}], lambda x: x IS NOT NULL))), 'string_agg', ','), '') AS licences
+FROM documents d LEFT JOIN (SELECT *, seq AS s0 FROM seqs) q ON d.doc_id = q.doc_id
+"""
+
+
+@query("op3_licences", _licence_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.licences import scan
+    out = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_known"),
+                      F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("sequence"),
+                      F.array_join("licences", ",").alias("licences"))
+
+
+# Fetch dates and the dated list are derived from the pages themselves: a page's
+# date from its id; entries from its host, the first segment of its path and
+# (every tenth page) its URL, dated and dealt by an md5 of the key.
+OP6_SQL = r"""
+WITH cap AS (SELECT page_id, url, DATE '2021-01-01' + (page_id * 7919 % 1461)::INT AS fetched_at,
+       lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS h,
+       regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+       regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+parts AS (SELECT *, string_split(h, '.') AS labels, list_filter(string_split(path, '/')[2:5], lambda s: s <> '') AS segs FROM cap WHERE h <> ''),
+keyed AS (SELECT page_id, fetched_at, unnest(list_distinct(
+       list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: 'd:' || array_to_string(labels[i:], '.'))
+       || list_transform(range(1, len(segs) + 1), lambda i: 'p:' || h || '/' || array_to_string(segs[1:i], '/') || '/')
+       || ['u:' || h || rest])) AS key FROM parts),
+names AS (SELECT DISTINCT 'd:' || h AS key FROM parts UNION SELECT 'p:' || h || '/' || segs[1] || '/' FROM parts WHERE len(segs) > 0
+          UNION SELECT 'u:' || h || rest FROM parts WHERE page_id % 10 = 0),
+hashed AS (SELECT key, ('0x' || substr(md5(key), 1, 4))::INT AS a, ('0x' || substr(md5(key), 5, 4))::INT AS b FROM names),
+events AS (SELECT key, CASE WHEN a % 3 = 0 THEN 'allow' ELSE 'block' END AS action, DATE '2021-01-01' + (a % 1200)::INT AS day FROM hashed
+  UNION ALL SELECT key, 'remove', DATE '2021-01-01' + (a % 1200 + 30 + b % 400)::INT FROM hashed WHERE b % 4 <> 0
+  UNION ALL SELECT key, 'block', DATE '2021-01-01' + (a % 1200 + 500 + b % 300)::INT FROM hashed WHERE b % 5 = 0),
+last AS (SELECT key, day, max(action) AS action FROM events GROUP BY key, day),
+valid AS (SELECT * FROM (SELECT key, action, day AS f, lead(day) OVER (PARTITION BY key ORDER BY day) AS t FROM last) WHERE action <> 'remove'),
+hit AS (SELECT page_id, k.key, action FROM keyed k JOIN valid v ON k.key = v.key AND fetched_at >= f AND (t IS NULL OR fetched_at < t)),
+best AS (SELECT page_id, count(DISTINCT key) AS active,
+       max({k: CASE key[1] WHEN 'u' THEN 3 WHEN 'p' THEN 2 ELSE 1 END, l: length(key), b: action = 'block', key: key}) AS top FROM hit GROUP BY page_id)
+SELECT p.page_id, coalesce(active, 0) AS active, top.key AS matched, coalesce(top.b, false) AS blocked
+FROM pages p LEFT JOIN best ON p.page_id = best.page_id
+"""
+
+
+def _dated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Captures with fetch dates and a dated list, both derived from the pages."""
+    from ratewise.llm.url_lists import ALLOW, BLOCK, REMOVE, keys
+    day = lambda n: F.date_add(F.lit("2021-01-01").cast("date"), n.cast("int"))
+    captures = pages.select("page_id", "url", day(F.col("page_id") * 7919 % 1461).alias("fetched_at"))
+    k = captures.select("page_id", keys(F.col("url")).alias("k")).where(F.size("k") > 0)
+    paths = F.filter("k", lambda x: x.startswith("p:"))
+    names = (k.select(F.element_at("k", 1).alias("key"))
+             .union(k.where(F.size(paths) > 0).select(F.element_at(paths, 1)))
+             .union(k.where(F.col("page_id") % 10 == 0).select(F.element_at("k", -1))).distinct())
+    number = lambda at: F.conv(F.substring(F.md5(F.col("key").cast("binary")), at, 4), 16, 10).cast("int")
+    h = names.withColumns({"a": number(1), "b": number(5)})
+    start = F.col("a") % 1200
+    entries = (h.select("key", F.when(F.col("a") % 3 == 0, ALLOW).otherwise(BLOCK).alias("action"), day(start).alias("at"))
+               .union(h.where(F.col("b") % 4 != 0).select("key", F.lit(REMOVE), day(start + 30 + F.col("b") % 400)))
+               .union(h.where(F.col("b") % 5 == 0).select("key", F.lit(BLOCK), day(start + 500 + F.col("b") % 300))))
+    return captures, entries
+
+
+@query("op6_url_lists", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.url_lists import filter_captures
+    captures, entries = _dated(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return filter_captures(captures, entries, "2025-12-31").select("page_id", "active", "matched", "blocked")
