@@ -207,14 +207,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                                         "token long, fp long, n int, rest int, part int")
         .withColumn("_c", F.count(F.lit(1)).over(lists)).where((F.col("_c") > 1) | (F.col("part") > 0))
         .select("token", "fp", "n", "rest"))
-    # a first comparison of each set with the leader of most of its lists
-    leads = entries.groupBy("token").agg(F.min(F.struct("fp", "n")).alias("l"))
+    # a first comparison of each set with the leader of most of its lists; the
+    # set with the largest part of its prefix in lists is the most central
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    central = entries.groupBy("fp", "n").agg((F.count(F.lit(1)) / prefix).alias("share")).drop("n")
+    leads = entries.join(central, "fp").groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("l"))
     tried = (entries.join(leads, "token").where(F.col("fp") != F.col("l.fp"))
              .where(100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n"))
-             .groupBy("fp", F.col("l.fp").alias("leader")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"),
-                                                                F.first("l.n").alias("ln"))
+             .groupBy("fp", "n", F.col("l.fp").alias("leader"), F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("c"))
              .groupBy("fp", "n").agg(F.max(F.struct("c", "leader", "ln")).alias("m"))
-             .where(SHARED * F.col("m.c") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+             .where(SHARED * F.col("m.c") >= prefix)
              .select(F.col("fp").alias("a"), F.col("m.leader").alias("b"), "n", F.col("m.ln").alias("ln")))
     tried = cut_lineage(tried)
     ends = tried.select(F.col("a").alias("fp")).union(tried.select(F.col("b").alias("fp"))).distinct()
@@ -249,15 +251,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         open_ = compared.where(~F.col("linked") & F.col("led"))
         if not empty(open_):
             nodes = _nodes(links, followers)
-            placed = _place(entries, nodes)
-            one, two = (placed.select(*[F.col(c).alias(f"{c}{k}") for c in placed.columns]) for k in (1, 2))
+            # members of either leader's group, by what the leaders' overlap leaves possible
+            group = (first.select("fp", "n").join(nodes.where(F.col("fp") != F.col("leader")), "fp")
+                     .select("fp", "n", "comp", "leader", "beyond"))
+            heads = (open_.select(F.col("a").alias("fp")).union(open_.select(F.col("b").alias("fp"))).distinct()
+                     .join(first.select("fp", "n"), "fp").join(nodes.select("fp", "comp"), "fp", "left")
+                     .select("fp", "n", F.coalesce("comp", "fp").alias("comp"), F.col("fp").alias("leader"),
+                             F.lit(0).alias("beyond")))
+            group = cut_lineage(group.union(heads))
+            one, two = (group.select(*[F.col(c).alias(f"{c}{k}") for c in group.columns]) for k in (1, 2))
             pairs = (open_.select(F.col("a").alias("leader1"), F.col("b").alias("leader2"), "overlap")
-                     .join(one, "leader1")
-                     .join(two.withColumnRenamed("token2", "token1"), ["token1", "leader2"])
+                     .join(one, "leader1").join(two, "leader2")
                      .where((F.col("comp1") != F.col("comp2"))
                             & ((F.col("fp1") != F.col("leader1")) | (F.col("fp2") != F.col("leader2")))
                             & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-                            & _link(1 + F.least("rest1", "rest2"), F.col("n1"), F.col("n2"), percent)
                             & _link(F.col("overlap") + F.col("beyond1") + F.col("beyond2"),
                                     F.col("n1"), F.col("n2"), percent))
                      .select(F.col("fp1").alias("a"), F.col("fp2").alias("b"), "n1", "n2").distinct())

@@ -92,7 +92,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ratewise.llm.mixing import plan
     out = plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return (out.repartitionByRange("position").sortWithinPartitions("position")
+    return (out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")    # untaken rows spread by id
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
