@@ -1,4 +1,4 @@
 from ratewise.functions.columns import (  # noqa: F401
-    clip, cyclic, fin, lead_time_bucket, map_lookup, nullif_zero, occ_band,
-    relabel, rnd, safe_div, sample_skew, season, year_month,
+    clip, cyclic, fin, lead_time_bucket, map_lookup, occ_band,
+    relabel, rnd, sample_skew, season, year_month,
 )

@@ -47,6 +47,12 @@ def fin(x: str | Column, n: int = 6) -> Column:
     return F.round(c(x).cast("decimal(38,12)"), n).cast("double")
 
 
+def fin_row(x: str | Column, n: int = 6) -> Column:
+    """``fin`` for columns of rows, not of aggregates: a decimal that fits a
+    long, so rounding a table costs little. Values must stay under 1e10."""
+    return F.round(c(x).cast("decimal(18,8)"), n).cast("double")
+
+
 def clip(x: str | Column, lo: float | None = None, hi: float | None = None) -> Column:
     """pandas ``clip``: bounds applied, null kept null.
 
@@ -109,36 +115,7 @@ def map_lookup(x: str | Column, mapping: dict, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def nullif_zero(x: str | Column) -> Column:
-    v = c(x)
-    return F.when(v != 0, v)
-
-
 def sample_skew(x: str | Column) -> Column:
     """Bias-corrected sample skewness (pandas ``skew``) from Spark's population one."""
     n = F.count(c(x)).cast("double")
     return F.skewness(c(x)) * F.sqrt(n * (n - 1)) / (n - 2)
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
-
-
-# Session setting that switches every quantile statistic of the library from
-# exact ``percentile`` (value->count maps, the default, needed for oracle
-# parity) to ``percentile_approx`` sketches with this accuracy (bounded memory
-# per group whatever the number of distinct values).
-QUANTILE_CONF = "spark.ratewise.quantileAccuracy"
-
-
-def quantile(x: str | Column, p, accuracy: int | None = None) -> Column:
-    """Quantile(s) ``p`` of ``x``: exact unless ``accuracy`` is given or the
-    session sets ``spark.ratewise.quantileAccuracy``."""
-    if accuracy is None:
-        from pyspark.sql import SparkSession
-        s = SparkSession.getActiveSession()
-        conf = s.conf.get(QUANTILE_CONF, None) if s is not None else None
-        accuracy = int(conf) if conf else None
-    if accuracy:
-        return F.percentile_approx(c(x), p, accuracy)
-    return F.percentile(c(x), p)

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import map_lookup
-from ratewise.operators.clean import HASH_P, row_hash
+from ratewise.operators.clean import HASH_BITS, row_hash
 
 # --- fixed values (room-type rate ranges, event classes and weights) -------
 ROOM_BASE_PRICE = {"A": (80, 130), "B": (80, 130), "C": (130, 200), "D": (130, 200),
@@ -28,8 +28,8 @@ EVENT_WEIGHTS = [0.45, 0.10, 0.10, 0.12, 0.08, 0.15]
 
 
 def uniform01(keys: Sequence[str], salt: int) -> Column:
-    """A value in [0, 1) from the key hash."""
-    return row_hash(keys, salt) / F.lit(float(HASH_P))
+    """A value in [0, 1) from the key hash: its upper 53 bits, exact in a double."""
+    return F.shiftright(row_hash(keys, salt), HASH_BITS - 53) / F.lit(float(2 ** 53))
 
 
 def seeded_uniform(keys: Sequence[str], lo, hi, salt: int) -> Column:

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
-    quantile,
     DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR, fin, lead_time_bucket, occ_band,
     relabel, sample_skew, year_month,
 )
+from ratewise.operators.quantiles import column_quantiles, exact_quantiles, quantiles_of_counts, value_counts
 
 TARGET = "actual_price"
 
@@ -93,24 +93,39 @@ def price_by_event_flag(df: DataFrame) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson matrix, long form, with a lower-triangle flag.
 
-    Two passes with small aggregation buffers: the column means (one row,
-    broadcast), then the sums of centred products and squares -- k(k+1)/2
-    sums in all, numerically stable because the data are centred first.
-    Rows with a null in any of the columns are left out of every pair
-    (pandas uses pairwise-complete rows; the bookings columns have no nulls).
+    Each pair uses the rows where both are present (pandas' rule): per pair
+    count, sums, sums of squares and of products, in one pass. The data are
+    first centred on the column means (one row, broadcast), which keeps the
+    sums stable.
     """
     cols = list(cols)
     n = len(cols)
-    src = df.select(*cols).dropna()
+    src = df.select(*cols)
     means = src.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
     cen = src.crossJoin(F.broadcast(means)).select(
         *[(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
-    sums = cen.agg(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}")
-                     for i in range(n) for j in range(i + 1)])
+    nulls = src.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    holey = {i for i in range(n) if nulls[f"n{i}"]}
+    sums = []
+    for i in range(n):
+        for j in range(i + 1):
+            x, y = F.col(f"d{i}"), F.col(f"d{j}")
+            sums.append(F.sum(x * y).alias(f"s{i}_{j}"))
+            if holey & {i, j}:                      # where a null can hide a row from one of the two
+                both = x.isNotNull() & y.isNotNull()
+                sums += [F.count_if(both).alias(f"c{i}_{j}"), F.sum(F.when(both, x)).alias(f"x{i}_{j}"),
+                         F.sum(F.when(both, y)).alias(f"y{i}_{j}"), F.sum(F.when(both, x * x)).alias(f"xx{i}_{j}"),
+                         F.sum(F.when(both, y * y)).alias(f"yy{i}_{j}")]
+    sums = cen.agg(*sums)
 
     def r(i, j):
         a, b = max(i, j), min(i, j)
-        return F.col(f"s{a}_{b}") / F.sqrt(F.col(f"s{a}_{a}") * F.col(f"s{b}_{b}"))
+        if not holey & {a, b}:
+            return F.col(f"s{a}_{b}") / F.sqrt(F.col(f"s{a}_{a}") * F.col(f"s{b}_{b}"))
+        k = f"{a}_{b}"
+        c = F.col(f"c{k}")
+        return ((F.col(f"s{k}") - F.col(f"x{k}") * F.col(f"y{k}") / c)
+                / F.sqrt((F.col(f"xx{k}") - F.pow(F.col(f"x{k}"), 2) / c) * (F.col(f"yy{k}") - F.pow(F.col(f"y{k}"), 2) / c)))
     cells = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
                       r(i, j).alias("corr"), F.lit(int(j < i)).alias("lower"))
              for i in range(n) for j in range(n)]
@@ -135,18 +150,18 @@ def histogram(df: DataFrame, x: str | Column, bins: int, by: str | None = None,
     Range per group when ``by`` is given (a separate histogram per group).
     Every bin is reported, empty ones with count 0: the bin spine is
     ``sequence(0, bins-1)`` exploded from the range row, so it has exactly
-    ``bins`` rows per group.
+    ``bins`` rows per group. Rows whose group is null are left out.
     """
-    xv = x if isinstance(x, Column) else F.col(x)
     keys = [by] if by else []
-    src = df.select(*keys, xv.alias(name)).filter(F.col(name).isNotNull())
-    rng = src.groupBy(*keys).agg(F.min(name).alias("lo"), F.max(name).alias("hi"),
-                                 F.count(F.lit(1)).alias("n_group"))
+    counted = value_counts(df, x, keys, name)       # so that rows never meet on the group key
+    if by:
+        counted = counted.where(F.col(by).isNotNull())
+    rng = counted.groupBy(*keys).agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.sum("n").alias("n_group"))
     rng = rng.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     idx = F.least(F.floor((F.col(name) - F.col("lo")) / F.col("width")), F.lit(bins - 1))
     idx = F.when(F.col("width") > 0, idx).otherwise(F.lit(0)).cast("int")
-    joined = src.join(rng, keys) if by else src.crossJoin(F.broadcast(rng))
-    counts = joined.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    joined = counted.join(rng, keys) if by else counted.crossJoin(F.broadcast(rng))
+    counts = joined.groupBy(*keys, idx.alias("bin")).agg(F.sum("n").alias("count"))
     spine = rng.select(*keys, "lo", "width", "n_group",
                        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = spine.join(counts, [*keys, "bin"], "left").select(
@@ -162,34 +177,35 @@ def histogram(df: DataFrame, x: str | Column, bins: int, by: str | None = None,
 def box_stats(df: DataFrame, by: str, y: str = TARGET) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (furthest point inside), outlier count.
 
-    Quartiles per group are exact (``percentile``, linear interpolation);
-    the whiskers need a second pass, so the per-group fences are joined back
-    to the rows on the group key.
+    Rows are first reduced to (group, value) counts; exact quartiles come from
+    the sorted counts, and the whiskers from the counts joined to their group's
+    fences.
     """
-    q = (df.groupBy(by).agg(quantile(y, [0.25, 0.5, 0.75]).alias("q"))
-         .select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3")))
+    counts = value_counts(df, y, [by], "_v")
+    q = (quantiles_of_counts(counts, [0.25, 0.5, 0.75], [by], "_v")
+         .select(F.col(by).alias("_by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    v = F.col(y)
+    v = F.col("_v")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-    w = (df.select(by, y).join(q, by)
+    w = (counts.join(q, F.col(by).eqNullSafe(F.col("_by")))
          .groupBy(by)
          .agg(F.first("q1").alias("q1"), F.first("median").alias("median"),
               F.first("q3").alias("q3"),
               F.min(F.when(inside, v)).alias("whisker_lo"),
               F.max(F.when(inside, v)).alias("whisker_hi"),
-              F.sum(F.when(v.isNotNull() & ~inside, 1).otherwise(0)).cast("long").alias("n_outliers"),
-              F.count(v).alias("n")))
+              F.sum(F.when(~inside, F.col("n")).otherwise(0)).cast("long").alias("n_outliers"),
+              F.sum("n").alias("n")))
     return w.select(by, *[fin(c).alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
                     "n_outliers", "n").orderBy(by)
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean, median, bias-corrected skew per column, one pass over the rows."""
+    """Mean, median, bias-corrected skew per column."""
     aggs = []
+    medians = column_quantiles(df, cols, [0.5])
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), quantile(c, 0.5).alias(f"{c}__median"),
+        aggs += [F.avg(c).alias(f"{c}__mean"), F.lit(medians[c][0]).cast("double").alias(f"{c}__median"),
                  sample_skew(c).alias(f"{c}__skew")]
     row = df.agg(*aggs)
     stack = F.explode(F.array(*[
@@ -387,13 +403,13 @@ def filliben_positions(m: int) -> list[float]:
 def qq_points(df: DataFrame, col: str, m: int = 200) -> DataFrame:
     """Normal Q-Q points at ``m`` Filliben positions: the theoretical
     normal quantile (a literal per position, ``m`` is a parameter) against
-    the exact sample quantile from one aggregation."""
+    the exact sample quantile."""
     from statistics import NormalDist
     probs = filliben_positions(m)
     nd = NormalDist()
     theo = df.sparkSession.createDataFrame(
         [(i, p, nd.inv_cdf(p)) for i, p in enumerate(probs)], "i int, p double, theoretical double")
-    q = df.agg(quantile(col, probs).alias("q")).select(F.posexplode("q").alias("i", "sample"))
+    q = exact_quantiles(df, col, probs).select(F.posexplode("q").alias("i", "sample"))
     return (F.broadcast(theo).join(q, "i")
             .select("i", fin("p").alias("p"), fin("theoretical").alias("theoretical"), fin("sample").alias("sample")))
 
@@ -404,9 +420,10 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0,
     (Scott bandwidth = sample std x n^(-1/5); axis from min - cut*h to
     max + cut*h).
 
-    Exact (default): each row meets the grid inside its own task (an explode
-    of ``sequence``), so only (group, grid point) partial sums are shuffled,
-    but the work is rows x grid. ``bins=B``: rows are first counted into B
+    Rows are first reduced to (group, value) counts. Exact (default): each
+    distinct value meets the grid inside its own task (an explode of
+    ``sequence``), so only (group, grid point) partial sums are shuffled.
+    ``bins=B``: the values are first counted into B
     equal-width bins per group (one pass, partial aggregation) and the kernel
     is summed over weighted bin centres, so the work after the scan is
     groups x B x grid whatever the number of rows.
@@ -417,15 +434,13 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0,
           .withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))))
     st = st.withColumns({"lo": F.col("mn") - cut * F.col("h"), "hi": F.col("mx") + cut * F.col("h")}) \
            .withColumn("step", (F.col("hi") - F.col("lo")) / (grid - 1))
-    rows = df.select(by, F.col(col).alias("_x")).filter(F.col("_x").isNotNull()).join(st, by)
+    rows = value_counts(df, col, [by], "_x").withColumnRenamed("n", "_w").join(st, by)
     if bins:
         bw = (F.col("mx") - F.col("mn")) / bins
         b = F.when(bw > 0, F.least(F.floor((F.col("_x") - F.col("mn")) / bw), F.lit(bins - 1))).otherwise(F.lit(0))
         rows = (rows.groupBy(by, "n", "h", "lo", "step", "mn", "mx", b.alias("_b"))
-                .agg(F.count(F.lit(1)).alias("_w"))
+                .agg(F.sum("_w").alias("_w"))
                 .withColumn("_x", F.col("mn") + (F.col("_b") + 0.5) * (F.col("mx") - F.col("mn")) / bins))
-    else:
-        rows = rows.withColumn("_w", F.lit(1))
     pts = rows.select(by, "_x", "_w", "n", "h", "lo", "step",
                       F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi"))
     z = (F.col("lo") + F.col("gi") * F.col("step") - F.col("_x")) / F.col("h")

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import c as col_of, clip, fin, rnd, quantile
+from ratewise.functions.columns import c as col_of, clip, fin, rnd
 from ratewise.operators.profile import numeric_columns
+from ratewise.operators.quantiles import column_quantiles
 
 # --- fixed values --------------------------------------------------------
 INT_COLS = ["year", "month", "day_of_week", "week_of_year", "day_of_year",
@@ -26,21 +27,18 @@ PRICE_COLS = ["actual_price", "base_price", "competitor_price_1", "competitor_pr
               "competitor_price_3", "revenue_per_night"]
 # -------------------------------------------------------------------------
 
-HASH_P = 1_000_003
-HASH_MULT = [65_599, 40_503, 92_821, 31_337, 77_773, 52_391]
+HASH_BITS = 60
 
 
 def row_hash(keys: Sequence[str | Column], seed: int = 0) -> Column:
-    """Portable integer hash of integer key columns, in [0, HASH_P).
+    """Portable hash of key columns, in [0, 2^60).
 
-    Pure integer arithmetic (every step stays far below 2^63), so it gives
-    the same value in any engine, on any partitioning, on every retry.
+    The first 60 bits of the md5 of the seed and the keys, so the draws of two
+    seeds are unrelated, any engine gives the same value, and so does every
+    partitioning and every retry. A null key counts as empty.
     """
-    h = F.lit(seed % HASH_P).cast("long")
-    for i, k in enumerate(keys):
-        kv = col_of(k).cast("long") % HASH_P
-        h = (h * 31_337 + kv * HASH_MULT[i % len(HASH_MULT)]) % HASH_P
-    return h
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col_of(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
@@ -63,8 +61,8 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     todo = [c for c in cols if nulls[c]]
     if not todo:
         return df
-    med = df.agg(*[quantile(F.col(c), 0.5).alias(c) for c in todo]).first()
-    fills = {c: F.coalesce(F.col(c), F.lit(med[c])) for c in todo if med[c] is not None}
+    med = column_quantiles(df, todo, [0.5])
+    fills = {c: F.coalesce(F.col(c), F.lit(med[c][0])) for c in todo if med[c][0] is not None}
     return df.withColumns(fills) if fills else df
 
 
@@ -75,14 +73,18 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols)
     if not cols:
         return df
-    # a mode keeps a value->count map per column, so only columns that have
-    # nulls pay for one
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     todo = [c for c in cols if nulls[c]]
     if not todo:
         return df
-    modes = df.agg(*[F.mode(F.col(c), True).alias(c) for c in todo]).first()
-    fills = {c: F.coalesce(F.col(c), F.lit(modes[c])) for c in todo if modes[c] is not None}
+    # counts per value first, so that no task holds a column's values
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in todo]))
+                        .alias("s")).select("s.*").where(F.col("value").isNotNull())
+    counts = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("column").agg(F.max("n").alias("most"))
+    modes = {r["column"]: r["value"] for r in counts.join(top, "column").where(F.col("n") == F.col("most"))
+             .groupBy("column").agg(F.min("value").alias("value")).collect()}
+    fills = {c: F.coalesce(F.col(c), F.lit(modes[c])) for c in todo if c in modes}
     return df.withColumns(fills) if fills else df
 
 
@@ -101,10 +103,13 @@ def enforce_types(df: DataFrame) -> DataFrame:
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> dict[str, tuple]:
     """Exact Q1/Q3 of every column in one pass; returns {col: (q1, q3, lo, hi)}."""
-    row = df.agg(*[quantile(F.col(c), [0.25, 0.75]).alias(c) for c in cols]).first()
+    quartiles = column_quantiles(df, cols, [0.25, 0.75])
     out = {}
     for c in cols:
-        q1, q3 = row[c]
+        q1, q3 = quartiles[c]
+        if q1 is None:
+            out[c] = (None, None, None, None)
+            continue
         iqr = q3 - q1
         out[c] = (q1, q3, q1 - k * iqr, q3 + k * iqr)
     return out
@@ -115,7 +120,7 @@ def winsorize_iqr(df: DataFrame, cols: Sequence[str] = PRICE_COLS, k: float = 3.
     """C11: cap each column to [Q1 - k*IQR, Q3 + k*IQR]; nulls stay null."""
     cols = [c for c in cols if c in df.columns]
     fences = fences or iqr_fences(df, cols, k)
-    return df.withColumns({c: clip(c, fences[c][2], fences[c][3]) for c in cols})
+    return df.withColumns({c: clip(c, fences[c][2], fences[c][3]) for c in cols if fences[c][0] is not None})
 
 
 def winsorize_report(df: DataFrame, cols: Sequence[str] = PRICE_COLS, k: float = 3.0,

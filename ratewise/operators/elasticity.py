@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import clip, fin, quantile
+from ratewise.functions.columns import clip, fin
 from ratewise.operators.features import qcut
+from ratewise.operators.quantiles import exact_quantiles
 
 
 def row_elasticity(df: DataFrame) -> DataFrame:
@@ -28,7 +29,9 @@ def row_elasticity(df: DataFrame) -> DataFrame:
 
 def elasticity_by(df: DataFrame, by: str, elastic_cut: float = -1.0) -> DataFrame:
     """Median elasticity per group and its class."""
-    med = df.groupBy(by).agg(quantile("elasticity", 0.5).alias("median_elasticity"))
+    med = (df.select(by).distinct()
+           .join(exact_quantiles(df, "elasticity", [0.5], [by]).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+           .select(by, F.col("q")[0].alias("median_elasticity")))
     m = F.col("median_elasticity")
     cls = F.when(m < elastic_cut, "elastic").when(m < 0, "inelastic").otherwise("positive")
     return med.select(by, fin(m).alias("median_elasticity"), cls.alias("class")).orderBy("median_elasticity", by)
@@ -54,7 +57,7 @@ def arc_elasticity(df: DataFrame, q: int = 10) -> DataFrame:
 
 
 def median_of(df: DataFrame, col: str, name: str) -> DataFrame:
-    return df.agg(fin(quantile(col, 0.5)).alias(name))
+    return exact_quantiles(df, col, [0.5]).select(fin(F.col("q")[0]).alias(name))
 
 
 def elasticity_slope(df: DataFrame) -> DataFrame:

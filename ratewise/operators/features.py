@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
-    EVENT_PREMIUM, cyclic, lead_time_bucket, map_lookup, quantile, rnd,
+    EVENT_PREMIUM, cyclic, lead_time_bucket, map_lookup, rnd,
 )
+from ratewise.operators.quantiles import column_quantiles
 
 # --- fixed values: model feature list and encoded columns -----------------
 FEATURE_COLS = [
@@ -139,30 +140,15 @@ def label_maps(df: DataFrame, cols: Sequence[str] = ENCODED_COLS) -> DataFrame:
     return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-LITERAL_MAP_LIMIT = 1_000
-
-
-def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS,
-                 maps: DataFrame | None = None, literal_limit: int = LITERAL_MAP_LIMIT) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS, maps: DataFrame | None = None) -> DataFrame:
     """``<col>_enc`` codes from the mapping table.
 
-    Size-checked: when the mapping table has at most ``literal_limit`` rows
-    it is read once and applied as literal map lookups inside one projection
-    (no join, no shuffle); beyond that each column is joined to its mapping
-    rows (a shuffle join, or AQE's broadcast when the runtime size allows).
+    Each column is joined to its mapping rows, written once; Spark's own size
+    check decides whether a mapping is broadcast.
     """
     from ratewise.session import cut_lineage
     cols = [c for c in cols if c in df.columns]
     maps = cut_lineage(maps if maps is not None else label_maps(df, cols))
-    rows = maps.limit(literal_limit + 1).collect()
-    if len(rows) <= literal_limit:
-        lookups = {}
-        for c in cols:
-            pairs = sorted((r["value"], r["code"]) for r in rows if r["column"] == c)
-            lit_map = F.create_map(*[F.lit(x) for kv in pairs for x in kv]) if pairs else None
-            lookups[f"{c}_enc"] = (lit_map[F.col(c).cast("string")] if lit_map is not None
-                                   else F.lit(None).cast("int"))
-        return df.withColumns(lookups)
     out = df
     for c in cols:
         m = (maps.filter(F.col("column") == c)
@@ -220,8 +206,8 @@ def qcut_edges(df: DataFrame, col: str, q: int) -> list[float]:
 def qcut_edges_many(df: DataFrame, cols: Sequence[str], q: int) -> dict[str, list[float]]:
     """F18 for several columns in one aggregation pass."""
     probs = [i / q for i in range(q + 1)]
-    row = df.agg(*[quantile(F.col(c), probs).alias(c) for c in cols]).first()
-    return {c: _dedupe_edges(row[c]) for c in cols}
+    got = column_quantiles(df, cols, probs)
+    return {c: _dedupe_edges([e for e in got[c] if e is not None]) for c in cols}
 
 
 def qcut(df: DataFrame, col: str, q: int, name: str | None = None,

@@ -339,7 +339,7 @@ def permutation_importance(model, test: DataFrame, cols: Sequence[str] = FEATURE
     stats = stats or scaler_stats(test, cols)
     base = standardize(test, cols, stats).select(
         *keys, TARGET, F.array(*[F.col(f"{c}_scaled") for c in cols]).alias("xs"))
-    base = base.withColumn("_row", row_hash(keys, seed + 101) * F.lit(1_000_003) + row_hash(keys, seed + 103))
+    base = base.withColumn("_row", row_hash(keys, seed + 101))
     buckets = max(1, n // bucket_rows)
     parts = []
     for r in range(repeats):

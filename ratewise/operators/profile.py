@@ -56,13 +56,14 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFram
 
     One aggregation over the rows computes every statistic of every column;
     the one-row result is then stacked into one row per column. ``exact``
-    quartiles keep a value->count map per column (bounded by the distinct
-    values); ``exact=False`` switches to ``approx_percentile`` sketches.
+    quartiles come from sorted value counts; ``exact=False`` takes sketches.
     """
+    from ratewise.operators.quantiles import column_quantiles
     aggs = []
+    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75]) if exact else {}
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
+        q = (F.array(*[F.lit(v).cast("double") for v in quartiles[c]]) if exact
              else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),

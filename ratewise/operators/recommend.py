@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import fin, map_lookup
+from ratewise.functions.columns import fin, map_lookup, fin_row
 
 # --- fixed values --------------------------------------------------------
 REQUEST_DEFAULTS = {"length_of_stay": 2, "is_weekend": 0, "is_holiday": 0, "event_magnitude": 0,
@@ -66,7 +66,7 @@ def rule_price(req: DataFrame, occ: str = "occupancy_rate", lead: str = "lead_ti
             + F.greatest(F.lit(0.0), (30 - F.col(lead)) / 30 * 0.15)
             + map_lookup(mag, RULE_EVENT_BONUS, 0.0))
     lo, hi = RULE_MULT_RANGE
-    return req.withColumn(out, fin(F.col(base) * F.least(F.greatest(mult, F.lit(lo)), F.lit(hi)), 2))
+    return req.withColumn(out, fin_row(F.col(base) * F.least(F.greatest(mult, F.lit(lo)), F.lit(hi)), 2))
 
 
 def pricing_factors(req: DataFrame, occ: str = "occupancy_rate", lead: str = "lead_time_days",
@@ -90,9 +90,9 @@ def price_context(req: DataFrame, rec: str, base: str = "base_price",
     """P5: recommended vs base %, vs competitor %, expected revenue."""
     r = F.col(rec)
     return req.withColumns({
-        "vs_base_pct": fin((r - F.col(base)) / F.col(base) * 100),
-        "vs_comp_pct": fin((r - F.col(comp)) / F.col(comp) * 100),
-        "expected_revenue": fin(r * F.col(occ) * F.col(nights)),
+        "vs_base_pct": fin_row((r - F.col(base)) / F.col(base) * 100),
+        "vs_comp_pct": fin_row((r - F.col(comp)) / F.col(comp) * 100),
+        "expected_revenue": fin_row(r * F.col(occ) * F.col(nights)),
     })
 
 

@@ -14,6 +14,11 @@ def R(expr: str, n: int = 6) -> str:
     return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,12)), {n}) AS DOUBLE)"
 
 
+def RR(expr: str, n: int = 6) -> str:
+    """Result rounding of rows, same as ``ratewise.functions.columns.fin_row``."""
+    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(18,8)), {n}) AS DOUBLE)"
+
+
 def RND(expr: str, n: int = 2) -> str:
     """Stage rounding, same as ``ratewise.functions.rnd``."""
     return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(18,8)), {n}) AS DOUBLE)"

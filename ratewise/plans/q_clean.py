@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewise.functions.columns import fin
+from ratewise.functions.columns import fin_row
 from ratewise.operators import clean as C
 from ratewise.plans.catalog import query
-from ratewise.plans.oracle import R, RND, with_bookings
+from ratewise.plans.oracle import R, RND, RR, with_bookings
+from ratewise.session import cut_lineage
 from ratewise.sources.bookings import BOOKING_COLS, KEY_COLS, bookings, dirty_bookings
 
 IMPUTED_NUM = ["occupancy_rate", "reviews_score", "weather_score", "lead_time_days", "competitor_price_2"]
@@ -20,12 +21,12 @@ DOUBLE_COLS = {"l_extendedprice", "base_price", "competitor_price_1", "competito
 
 
 def round_doubles(df: DataFrame, n: int = 6) -> DataFrame:
-    return df.select(*[fin(c, n).alias(c) if isinstance(t, T.DoubleType) else F.col(c)
+    return df.select(*[fin_row(c, n).alias(c) if isinstance(t, T.DoubleType) else F.col(c)
                        for c, t in ((f.name, f.dataType) for f in df.schema.fields)])
 
 
 def _sel_rounded(cols, doubles, src):
-    return "SELECT " + ", ".join(R(c) + f" AS {c}" if c in doubles else c for c in cols) + f" FROM {src}"
+    return "SELECT " + ", ".join(RR(c) + f" AS {c}" if c in doubles else c for c in cols) + f" FROM {src}"
 
 
 _INTS_PRESENT = [c for c in C.INT_COLS if c in BOOKING_COLS]
@@ -62,16 +63,15 @@ def c05_with_issues(spark, d):
 @query("c07_impute_median", with_bookings(
     _sel_rounded(KEY_COLS + IMPUTED_NUM, DOUBLE_COLS | set(IMPUTED_NUM), "cl_imp"), *CLEAN_CTES[:3], dirty=True))
 def c07_impute_median(spark, d):
-    out = C.impute_mode(C.impute_median(dirty_bookings(spark, d)))
-    return round_doubles(out.select(*KEY_COLS, *IMPUTED_NUM))
+    out = C.impute_median(cut_lineage(dirty_bookings(spark, d).select(*KEY_COLS, *IMPUTED_NUM)), IMPUTED_NUM)
+    return round_doubles(out)
 
 
 @query("c08_impute_mode", with_bookings(
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, guest_type FROM cl_imp",
     *CLEAN_CTES[:3], dirty=True))
 def c08_impute_mode(spark, d):
-    out = C.impute_mode(C.impute_median(dirty_bookings(spark, d)))
-    return out.select(*KEY_COLS, "guest_type")
+    return C.impute_mode(cut_lineage(dirty_bookings(spark, d).select(*KEY_COLS, "guest_type")), ["guest_type"])
 
 
 @query("c09_dedupe", with_bookings(
@@ -79,7 +79,7 @@ def c08_impute_mode(spark, d):
        (SELECT count(*) FROM cl_imp) - (SELECT count(*) FROM cl_dd) AS n_removed""",
     *CLEAN_CTES[:4], dirty=True))
 def c09_dedupe(spark, d):
-    imp = C.impute_mode(C.impute_median(dirty_bookings(spark, d)))
+    imp = C.impute_mode(C.impute_median(cut_lineage(dirty_bookings(spark, d))))
     before = imp.agg(F.count(F.lit(1)).alias("n_before"))
     after = C.dedupe(imp).agg(F.count(F.lit(1)).alias("n_after"))
     return (before.crossJoin(after)
@@ -93,7 +93,8 @@ def c09_dedupe(spark, d):
         FROM cl_fence f""" for c in C.PRICE_COLS),
     *CLEAN_CTES[:7], dirty=True))
 def c11_winsorize_report(spark, d):
-    typed = C.enforce_types(C.dedupe(C.impute_mode(C.impute_median(dirty_bookings(spark, d)))))
+    typed = cut_lineage(C.enforce_types(C.dedupe(C.impute_mode(C.impute_median(cut_lineage(dirty_bookings(spark, d))))))
+                        .select(*C.PRICE_COLS))
     return C.winsorize_report(typed)
 
 
@@ -107,10 +108,14 @@ def c12_zscore_outliers(spark, d):
 
 
 def _sql_hash(keys, seed):
-    h = f"CAST({seed % C.HASH_P} AS BIGINT)"
-    for i, k in enumerate(keys):
-        h = f"(({h}) * 31337 + (CAST({k} AS BIGINT) % {C.HASH_P}) * {C.HASH_MULT[i % len(C.HASH_MULT)]}) % {C.HASH_P}"
-    return h
+    """``row_hash`` in SQL."""
+    text = ", ".join([f"'{seed}'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]])
+    return f"CAST('0x' || substr(md5(concat_ws('|', {text})), 1, {C.HASH_BITS // 4}) AS BIGINT)"
+
+
+def _sql_uniform(keys, seed):
+    """``uniform01`` in SQL."""
+    return f"(({_sql_hash(keys, seed)} >> {C.HASH_BITS - 53}) / 9007199254740992e0)"
 
 
 _INT_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

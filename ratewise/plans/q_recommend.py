@@ -8,10 +8,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import fin
+from ratewise.functions.columns import fin, fin_row
 from ratewise.operators import recommend as P
 from ratewise.plans.catalog import query
-from ratewise.plans.oracle import D, R, with_bookings
+from ratewise.plans.oracle import D, R, RR, with_bookings
 from ratewise.sources.bookings import KEY_COLS, bookings
 
 KEYS = ", ".join(KEY_COLS)
@@ -74,18 +74,18 @@ _DOUBLE = {"l_extendedprice", "base_price", "occupancy_rate", "demand_score", "c
 
 
 @query("p01_complete_requests", with_bookings(
-    "SELECT " + ", ".join(R(c) + f" AS {c}" if c in _DOUBLE else c for c in COMPLETED_COLS) + " FROM completed",
+    "SELECT " + ", ".join(RR(c) + f" AS {c}" if c in _DOUBLE else c for c in COMPLETED_COLS) + " FROM completed",
     *COMPLETE_CTES))
 def p01_complete_requests(spark, d):
     done = P.complete_requests(requests_from(bookings(spark, d)))
-    return done.select(*[fin(c).alias(c) if c in _DOUBLE else F.col(c) for c in COMPLETED_COLS])
+    return done.select(*[fin_row(c).alias(c) if c in _DOUBLE else F.col(c) for c in COMPLETED_COLS])
 
 
 _BONUS = " ".join(f"WHEN {k} THEN {D(v)}" for k, v in P.RULE_EVENT_BONUS.items())
 RULE_SQL = (f"base_price * least(greatest(1e0 + (occupancy_rate * 100 - 50) / 100 * 0.3e0 "
             f"+ greatest(0e0, (30 - lead_time_days) / 30 * 0.15e0) + coalesce(CASE event_magnitude {_BONUS} END, 0e0), "
             f"{D(P.RULE_MULT_RANGE[0])}), {D(P.RULE_MULT_RANGE[1])})")
-RULE_CTE = "ruled AS (SELECT *, " + R(RULE_SQL, 2) + " AS rule_price FROM bookings)"
+RULE_CTE = "ruled AS (SELECT *, " + RR(RULE_SQL, 2) + " AS rule_price FROM bookings)"
 
 
 def _ruled(spark, d):
@@ -117,9 +117,9 @@ def p04_pricing_factors(spark, d):
 
 
 @query("p05_price_context", with_bookings(f"""
-SELECT {KEYS}, rule_price, {R('(rule_price - base_price) / base_price * 100')} AS vs_base_pct,
-       {R('(rule_price - competitor_avg_price) / competitor_avg_price * 100')} AS vs_comp_pct,
-       {R('rule_price * occupancy_rate * length_of_stay')} AS expected_revenue FROM ruled""", RULE_CTE))
+SELECT {KEYS}, rule_price, {RR('(rule_price - base_price) / base_price * 100')} AS vs_base_pct,
+       {RR('(rule_price - competitor_avg_price) / competitor_avg_price * 100')} AS vs_comp_pct,
+       {RR('rule_price * occupancy_rate * length_of_stay')} AS expected_revenue FROM ruled""", RULE_CTE))
 def p05_price_context(spark, d):
     ctx = P.price_context(_ruled(spark, d), "rule_price")
     return ctx.select(*KEY_COLS, "rule_price", "vs_base_pct", "vs_comp_pct", "expected_revenue")

@@ -2,8 +2,8 @@
 
 The library never assumes a machine-local scratch folder: anything it writes
 (lineage cuts, materialised views, result tables) goes under the directory
-the cluster names in ``spark.checkpoint.dir``. Only when that setting is
-absent (unit tests on a laptop) do we create one under the system temp dir.
+the cluster names in ``spark.checkpoint.dir``. Without that setting a local
+master gets a folder under the system temp dir; any other master is an error.
 """
 
 from __future__ import annotations
@@ -62,6 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ratewise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

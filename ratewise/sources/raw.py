@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ratewise.functions.columns import rnd, season
 from ratewise.functions.seeded import room_base_price, seeded_event, seeded_int, seeded_uniform
+from ratewise.operators.clean import row_hash
 from ratewise.sources.bookings import mark_test, star_join
 from ratewise.sources.io import arrival_date
 
@@ -27,7 +28,7 @@ def raw_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship = F.to_date("l_shipdate")
     letters = F.array(*[F.lit(x) for x in ROOM_LETTERS])
     return j.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("booking_id"),
+        row_hash(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).alias("booking_id"),
         F.col("r_name").alias("hotel"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_canceled"),
         (F.abs(F.datediff(ship, F.to_date("o_orderdate"))) % 366).cast("int").alias("lead_time"),
@@ -98,7 +99,7 @@ def to_bookings(raw: DataFrame, key: str = "booking_id", seed: int = 42) -> Data
         "competitor_avg_price": rnd((cp[0] + cp[1] + cp[2]) / 3.0, 2),
         "competitor_min_price": F.least(*cp), "competitor_max_price": F.greatest(*cp),
         "event_type": ev, "event_magnitude": mag,
-        "weather_score": seeded_int(keys, 1, 6, seed + 6),
+        "weather_score": seeded_int(keys, 1, 6, seed + 11),
         "reviews_score": rnd(seeded_uniform(keys, 3.5, 5.0, seed + 7), 1),
         "occupancy_rate": rnd(F.least(F.lit(0.98), F.greatest(F.lit(0.20), 0.60 + bump + noise)), 4),
     })
