@@ -13,6 +13,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -38,7 +39,8 @@ def main() -> None:
     from ratewise.sources.bookings import materialize
 
     spark = get_spark(f"local[{cpus}]", app="ratewise-bench", shuffle_partitions=int(cpus) * 2,
-                      **{"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+                      **{"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g"),
+                         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ratewise-bench-")})
     reg = load_all()
     names = [q for q in (only or HEADLINE) if q in reg]
 

@@ -37,18 +37,19 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
         same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
     upto = F.sum("n").over(Window.partitionBy(*by, "_p").orderBy(name))
     ranked = ranges.withColumn("_upto", upto).join(offsets, same).withColumn("_hi", F.col("_before") + F.col("_upto"))
-    v, aggs = F.col(name).cast("double"), []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        holds = lambda r: (F.col("_hi") - F.col("n") <= r) & (r < F.col("_hi"))
-        aggs += [F.max(F.when(holds(F.floor(at)), v)).alias(f"_l{i}"), F.max(F.when(holds(F.ceil(at)), v)).alias(f"_h{i}")]
-    got = ranked.groupBy(*by).agg(F.first("_all").alias("_all"), *aggs)
+    # each value hands over the wanted ranks that it holds: a few rows a group
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_all") - 1))
+    wanted = F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))
+    held = (ranked.withColumn("_r", F.explode(F.filter(
+                wanted, lambda r: (r >= F.col("_hi") - F.col("n")) & (r < F.col("_hi")))))
+            .groupBy(*by).agg(F.first("_all").alias("_all"),
+                              F.map_from_entries(F.collect_list(F.struct("_r", F.col(name).cast("double").alias("_v")))).alias("_m")))
 
-    def between(i, p):
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        lo, hi = F.floor(at), F.ceil(at)
-        return F.when(lo == hi, F.col(f"_l{i}")).otherwise((hi - at) * F.col(f"_l{i}") + (at - lo) * F.col(f"_h{i}"))
-    return got.select(*by, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q"))
+    def between(r):
+        lo, hi = F.floor(r), F.ceil(r)
+        low, high = F.element_at(F.col("_m"), lo), F.element_at(F.col("_m"), hi)
+        return F.when(lo == hi, low).otherwise((hi - r) * low + (r - lo) * high)
+    return held.select(*by, F.transform(at, between).alias("q"))
 
 
 def exact_quantiles(df: DataFrame, x: str | Column, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

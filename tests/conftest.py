@@ -12,7 +12,9 @@ MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ratewise.session import get_spark
-    s = get_spark("local[4]", app="ratewise-tests", shuffle_partitions=8)
+    import tempfile
+    s = get_spark("local[4]", app="ratewise-tests", shuffle_partitions=8,
+                  **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ratewise-tests-")})
     yield s
     s.stop()
 
