@@ -8,19 +8,24 @@ The work follows the relations between sets:
 * Index. A linked pair shares one of the first n - ceil(t n) + 1 shingles of
   both sets under any common order. The order is by how often a shingle's hash
   slot occurs in the whole corpus (a table of fixed size), then by hash, so the
-  prefixes hold rare shingles. Lists of one entry are dropped. A list that its
-  slot's count shows to be possibly long is counted in salted parts.
-* Answers from a similar set. In every list the smallest node leads. Each
+  prefixes hold rare shingles. Entries without another of similar size in their
+  list are dropped. A list that its slot's count shows to be possibly long is
+  looked through in salted parts.
+* Answers from a similar set. In every list the most central set leads. Each
   set is compared with the leader that it shares most lists with; where they
-  link, the set is the leader's follower, and what either has beyond the other
-  is known. Followers' answers then derive from their leader's: for followers
+  link, the set is the leader's follower, and what it has beyond the leader is
+  known. A few rounds with other leaders from the groups so found connect most
+  of the rest. Followers' answers then derive from their leader's: for followers
   x, y of c, d the overlap of x and y is at most that of c and d plus what x
   has beyond c and y beyond d.
 * Block skipping. For the remaining links, those between components, each list
   is cut into blocks (leader and size band) that know their sizes and the
-  earliest position of an entry. Block pairs that sizes or positions rule out
-  are skipped; leaders of the others are compared exactly; only where that
-  leaves a pair of followers undecided is the pair itself compared.
+  earliest position of an entry. Block pairs are skipped where sizes rule a
+  link out, where the first shared shingle would stand too late, or where too
+  few lists are shared: of a pair's overlap at most max(n) t falls outside the
+  prefix that ends first, so the rest must be shared lists. Leaders of the other
+  blocks are compared exactly; only where that leaves a pair of followers
+  undecided is the pair itself compared.
 
 So a group of near copies costs one comparison a member, not one a pair, while
 no link that would join two components is lost.
@@ -48,6 +53,7 @@ LONG_LIST = 10_000      # lists whose slot counts more (and 4 x the mean slot) a
 PARTS = 64
 KEY_BITS = 24           # of the bit set that tells which documents' sets to fetch: 2 MB
 SHARED = 4              # a leader is tried first if it shares a 1/SHARED of the prefix
+ROUNDS = 3              # of further leaders, before the links between components are looked for one by one
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -169,6 +175,20 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .withColumn("overlap", F.size(F.array_intersect("_x", "_y"))).drop("_x", "_y"))
 
 
+def _prefix(n: str, percent: int) -> Column:
+    return F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
+
+
+def _tries(led: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, ln): each set with the leader ``l`` that most of its lists have,
+    where it is near in size and has a part of the prefix."""
+    return (led.where(100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n"))
+            .groupBy("fp", "n", F.col("l.fp").alias("leader"), F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("fp", "n").agg(F.max(F.struct("c", "leader", "ln")).alias("m"))
+            .where(SHARED * F.col("m.c") >= _prefix("n", percent))
+            .select(F.col("fp").alias("a"), F.col("m.leader").alias("b"), "n", F.col("m.ln").alias("ln")))
+
+
 def _link(overlap: Column, n1: Column, n2: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (n1 + n2)
 
@@ -201,31 +221,43 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                         .groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n")))
     levels, long = _slot_levels(measured)
     shared = spark.sparkContext.broadcast(levels)
-    lists = Window.partitionBy("token", "part")
+    # An entry stays if the next smaller or larger set of its list is near
+    # enough in size; if neither is, no set of the list is. Parts of long lists
+    # all stay.
+    sizes = Window.partitionBy("token", "part").orderBy("n")
+    close = lambda a, b: F.coalesce(100 * a >= percent * b, F.lit(False))
     entries = cut_lineage(
         texts.select("text").mapInArrow(_postings(shared, long, width, percent),
                                         "token long, fp long, n int, rest int, part int")
-        .withColumn("_c", F.count(F.lit(1)).over(lists)).where((F.col("_c") > 1) | (F.col("part") > 0))
+        .withColumns({"_down": F.lag("n").over(sizes), "_up": F.lead("n").over(sizes)})
+        .where(close(F.col("_down"), F.col("n")) | close(F.col("n"), F.col("_up")) | (F.col("part") > 0))
         .select("token", "fp", "n", "rest"))
     # a first comparison of each set with the leader of most of its lists; the
     # set with the largest part of its prefix in lists is the most central
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    central = entries.groupBy("fp", "n").agg((F.count(F.lit(1)) / prefix).alias("share")).drop("n")
+    central = entries.groupBy("fp", "n").agg((F.count(F.lit(1)) / _prefix("n", percent)).alias("share")).drop("n")
     leads = entries.join(central, "fp").groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("l"))
-    tried = (entries.join(leads, "token").where(F.col("fp") != F.col("l.fp"))
-             .where(100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n"))
-             .groupBy("fp", "n", F.col("l.fp").alias("leader"), F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("fp", "n").agg(F.max(F.struct("c", "leader", "ln")).alias("m"))
-             .where(SHARED * F.col("m.c") >= prefix)
-             .select(F.col("fp").alias("a"), F.col("m.leader").alias("b"), "n", F.col("m.ln").alias("ln")))
-    tried = cut_lineage(tried)
-    ends = tried.select(F.col("a").alias("fp")).union(tried.select(F.col("b").alias("fp"))).distinct()
+    tried = cut_lineage(_tries(entries.join(leads, "token").where(F.col("fp") != F.col("l.fp")), percent))
+    ends = cut_lineage(tried.select(F.col("a").alias("fp")).union(tried.select(F.col("b").alias("fp"))).distinct())
     sets = _fetch(texts, first, ends, width)
     linked = cut_lineage(_overlaps(tried, sets).where(_link(F.col("overlap"), F.col("n"), F.col("ln"), percent)))
     followers = linked.select(F.col("a").alias("fp"), F.col("b").alias("leader"),
                               (F.col("n") - F.col("overlap")).alias("beyond"))
     links = linked.select("a", "b")
     nodes = _nodes(links, followers)
+    # sets that did not link are compared with other members of the groups that they share lists with
+    again = cut_lineage(entries.join(ends, "fp", "left_semi")) if ROUNDS else None
+    for k in range(ROUNDS):
+        placed = again.join(nodes.withColumn("grouped", F.lit(True)), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        leads = (placed.groupBy("token").agg(F.max(F.when(F.col("grouped"), F.struct(F.xxhash64("fp", F.lit(k)), "fp", "n", "comp"))).alias("l"),
+                                             F.min("comp").alias("_c"), F.max("comp").alias("_d"))
+                 .where(F.col("l").isNotNull() & (F.col("_c") != F.col("_d"))))
+        tried = cut_lineage(_tries(placed.select("token", "fp", "n", "comp").join(leads, "token")
+                                   .where(F.col("comp") != F.col("l.comp")), percent))
+        more = cut_lineage(_overlaps(tried, sets).where(_link(F.col("overlap"), F.col("n"), F.col("ln"), percent)).select("a", "b"))
+        if empty(more):
+            break
+        links = links.union(more)
+        nodes = _nodes(links, followers)
     # links between components: block pairs that sizes and positions allow
     placed = _place(entries, nodes)
     band = F.floor(F.log("n") / F.log(F.lit(1.25)))
@@ -233,11 +265,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                          .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"),
                               F.max(F.col("fp") != F.col("leader")).alias("led")))
     x, y = blocks.alias("x"), blocks.alias("y")
+    first_common = _link(1 + F.least("x.rest", "y.rest"), F.col("x.lo"), F.col("y.lo"), percent)
+    low = lambda side: F.min(f"{side}.lo")
+    high = lambda side: F.max(f"{side}.hi")
+    fewest = F.least(percent * low("x") - percent ** 2 / 100 * high("y"), percent * low("y") - percent ** 2 / 100 * high("x"))
     near = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
-                   & (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
-                   & _link(1 + F.least("x.rest", "y.rest"), F.col("x.lo"), F.col("y.lo"), percent))
-            .groupBy(F.col("x.leader").alias("a"), F.col("y.leader").alias("b"))
-            .agg(F.max(F.col("x.led") | F.col("y.led")).alias("led")))
+                   & (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo")))
+            .groupBy(F.col("x.leader").alias("a"), F.col("y.leader").alias("b"), F.col("x.band").alias("_xb"), F.col("y.band").alias("_yb"))
+            .agg(F.count(F.lit(1)).alias("shared"), fewest.alias("fewest"), F.max(first_common).alias("early"),
+                 F.max(F.col("x.led") | F.col("y.led")).alias("led"))
+            .where(F.col("early") & ((100 + percent) * F.col("shared") >= F.col("fewest")))
+            .groupBy("a", "b").agg(F.max("led").alias("led")))
     near = cut_lineage(near)
     if not empty(near):
         more = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
@@ -258,15 +296,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      .join(first.select("fp", "n"), "fp").join(nodes.select("fp", "comp"), "fp", "left")
                      .select("fp", "n", F.coalesce("comp", "fp").alias("comp"), F.col("fp").alias("leader"),
                              F.lit(0).alias("beyond")))
-            group = cut_lineage(group.union(heads))
+            # (100 + t) * what a member has beyond its leader - t * its size: the
+            # part of the link condition that is the member's own
+            group = cut_lineage(group.union(heads).withColumn("own", (100 + percent) * F.col("beyond") - percent * F.col("n")))
+            best = group.groupBy("leader").agg(F.max("own").alias("best"))
             one, two = (group.select(*[F.col(c).alias(f"{c}{k}") for c in group.columns]) for k in (1, 2))
-            pairs = (open_.select(F.col("a").alias("leader1"), F.col("b").alias("leader2"), "overlap")
-                     .join(one, "leader1").join(two, "leader2")
-                     .where((F.col("comp1") != F.col("comp2"))
-                            & ((F.col("fp1") != F.col("leader1")) | (F.col("fp2") != F.col("leader2")))
-                            & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-                            & _link(F.col("overlap") + F.col("beyond1") + F.col("beyond2"),
-                                    F.col("n1"), F.col("n2"), percent))
+            still = (open_.select(F.col("a").alias("leader1"), F.col("b").alias("leader2"), ((100 + percent) * F.col("overlap")).alias("base"))
+                     .join(best.select(F.col("leader").alias("leader1"), F.col("best").alias("best1")), "leader1")
+                     .join(best.select(F.col("leader").alias("leader2"), F.col("best").alias("best2")), "leader2")
+                     .where(F.col("base") + F.col("best1") + F.col("best2") >= 0))
+            s1, o1, o2 = still.alias("s"), one.alias("o1"), two.alias("o2")
+            pairs = (s1.join(o1, (F.col("s.leader1") == F.col("o1.leader1")) & (F.col("base") + F.col("own1") + F.col("best2") >= 0))
+                     .select("base", F.col("s.leader2").alias("_l2"), "fp1", "n1", "comp1", "own1", (F.col("fp1") == F.col("o1.leader1")).alias("_h1"))
+                     .join(o2, (F.col("_l2") == F.col("o2.leader2")) & (F.col("base") + F.col("own1") + F.col("own2") >= 0)
+                           & (F.col("comp1") != F.col("comp2")) & ~(F.col("_h1") & (F.col("fp2") == F.col("o2.leader2")))
+                           & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
                      .select(F.col("fp1").alias("a"), F.col("fp2").alias("b"), "n1", "n2").distinct())
             last = cut_lineage(_overlaps(pairs, sets).where(_link(F.col("overlap"), F.col("n1"), F.col("n2"), percent)))
             links = links.union(last.select("a", "b"))
