@@ -349,10 +349,9 @@ def permutation_importance(model, test: DataFrame, cols: Sequence[str] = FEATURE
 
     One scoring job for all ``len(cols) x repeats`` variants:
 
-    1. per repeat, every test row gets a partner row -- the row of equal rank
-       inside the same hash bucket under a second hash order (a permutation
-       within buckets of ~``bucket_rows`` rows, so each window holds one
-       bucket); the join is on (repeat, bucket, rank);
+    1. the test rows are dealt once into hash buckets of ~``bucket_rows`` rows;
+       per repeat, a bucket's rows in one hash order take as partners its rows
+       in a second hash order (a permutation inside the bucket);
     2. each (row, repeat) pair is expanded to one variant per feature inside
        the scoring stage, with that feature's scaled value taken from the
        partner, and scored by the model;
@@ -367,18 +366,15 @@ def permutation_importance(model, test: DataFrame, cols: Sequence[str] = FEATURE
         *keys, TARGET, F.array(*[F.col(f"{c}_scaled") for c in cols]).alias("xs"))
     base = base.withColumn("_row", row_hash(keys, seed + 101))
     buckets = max(1, n // bucket_rows)
-    parts = []
-    for r in range(repeats):
-        b = (row_hash(keys, seed + 31 * r) % buckets).alias("_b")
-        h1, h2 = row_hash(keys, seed + 31 * r + 7), row_hash(keys, seed + 31 * r + 13)
-        t = base.select("*", b, h1.alias("_h1"), h2.alias("_h2"))
-        recv = t.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h1", "_row")))
-        donor = t.select("_b", F.col("xs").alias("pxs"),
-                         F.row_number().over(Window.partitionBy("_b").orderBy("_h2", "_row")).alias("_i"))
-        parts.append(recv.join(donor, ["_b", "_i"]).select(F.lit(r).alias("rep"), TARGET, "xs", "pxs"))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+    dealt = (base.groupBy((row_hash(keys, seed) % buckets).alias("_b"))
+             .agg(F.collect_list(F.struct("_row", F.col(TARGET).alias("y"), "xs")).alias("rows"))
+             .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
+
+    def order(salt):
+        return F.array_sort(F.transform("rows", lambda x: F.struct(F.xxhash64(x["_row"], F.col("rep"), F.lit(salt)).alias("h"), x.alias("v"))))
+    pairs = (dealt.select("rep", F.explode(F.zip_with(order(1), order(2), lambda a, b: F.struct(
+                a["v"]["y"].alias(TARGET), a["v"]["xs"].alias("xs"), b["v"]["xs"].alias("pxs")))).alias("p"))
+             .select("rep", "p.*"))
     which = [cols.index(c) for c in permute] if permute is not None else list(range(len(cols)))
     variants = pairs.select("rep", TARGET, "xs", "pxs",
                             F.explode(F.array(*[F.lit(i) for i in which])).alias("fi"))
