@@ -25,6 +25,8 @@ COMPETITOR_MIN_MULT = 0.92
 COMPETITOR_MAX_MULT = 1.08
 RULE_EVENT_BONUS = {0: 0.0, 1: 0.12, 2: 0.28, 3: 0.45}
 RULE_MULT_RANGE = (0.8, 1.5)
+FACTOR_TEXTS = {"occupancy": "high occupancy (%d%%) adds premium", "lead": "last-minute booking (%d days) adds premium",
+                "event": "%s event adds %d%% premium", "weekend": "weekend adds ~10% premium"}
 # -------------------------------------------------------------------------
 
 
@@ -75,11 +77,11 @@ def pricing_factors(req: DataFrame, occ: str = "occupancy_rate", lead: str = "le
     """The explanation texts whose condition holds, as ``array<string>``."""
     occ_pct = F.round(F.col(occ).cast("decimal(18,8)") * 100, 0).cast("int")
     texts = F.array(
-        F.when(occ_pct >= 80, F.format_string("high occupancy (%d%%) adds premium", occ_pct)),
-        F.when(F.col(lead) <= 3, F.format_string("last-minute booking (%d days) adds premium", F.col(lead))),
-        F.when(F.col(mag) > 0, F.format_string("%s event adds %d%% premium", F.lower(F.col(event)),
+        F.when(occ_pct >= 80, F.format_string(FACTOR_TEXTS["occupancy"], occ_pct)),
+        F.when(F.col(lead) <= 3, F.format_string(FACTOR_TEXTS["lead"], F.col(lead))),
+        F.when(F.col(mag) > 0, F.format_string(FACTOR_TEXTS["event"], F.lower(F.col(event)),
                                                (F.col(mag) * 15).cast("int"))),
-        F.when(F.col(weekend) == 1, F.lit("weekend adds ~10% premium")),
+        F.when(F.col(weekend) == 1, F.lit(FACTOR_TEXTS["weekend"])),
     )
     return req.withColumn("factors", F.array_compact(texts))
 
