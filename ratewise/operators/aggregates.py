@@ -95,17 +95,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Each pair uses the rows where both are present (pandas' rule): per pair
     count, sums, sums of squares and of products, in one pass. The data are
-    first centred on the column means (one row, broadcast), which keeps the
-    sums stable.
+    first centred on the column means (one row), which keeps the sums stable.
     """
     cols = list(cols)
     n = len(cols)
     src = df.select(*cols)
-    means = src.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
-    cen = src.crossJoin(F.broadcast(means)).select(
-        *[(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
-    nulls = src.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    holey = {i for i in range(n) if nulls[f"n{i}"]}
+    seen = src.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()   # one row
+    cen = src.select(*[(F.col(c) - F.lit(seen[f"m{i}"])).alias(f"d{i}") for i, c in enumerate(cols)])
+    holey = {i for i in range(n) if seen[f"n{i}"]}
     sums = []
     for i in range(n):
         for j in range(i + 1):
@@ -153,9 +151,11 @@ def histogram(df: DataFrame, x: str | Column, bins: int, by: str | None = None,
     ``bins`` rows per group. Rows whose group is null are left out.
     """
     keys = [by] if by else []
-    counted = value_counts(df, x, keys, name)       # so that rows never meet on the group key
-    if by:
-        counted = counted.where(F.col(by).isNotNull())
+    if by:                                          # counts first, so that rows never meet on the group key
+        counted = value_counts(df, x, keys, name).where(F.col(by).isNotNull())
+    else:
+        xv = x if isinstance(x, Column) else F.col(x)
+        counted = df.select(xv.alias(name), F.lit(1).cast("long").alias("n")).where(F.col(name).isNotNull())
     rng = counted.groupBy(*keys).agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.sum("n").alias("n_group"))
     rng = rng.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     idx = F.least(F.floor((F.col(name) - F.col("lo")) / F.col("width")), F.lit(bins - 1))
