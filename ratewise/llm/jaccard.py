@@ -49,11 +49,13 @@ from ratewise.llm.shingles import mix, shingle_sets
 
 SLOT_BITS = 18          # of the table of shingle counts: 2^18 counters
 CHUNKS = 16
+HELD = 100_000          # shingles that a Python worker holds before it hands them over
 LONG_LIST = 10_000      # lists whose slot counts more (and 4 x the mean slot) are counted in parts
 PARTS = 64
 KEY_BITS = 24           # of the bit set that tells which documents' sets to fetch: 2 MB
 SHARED = 4              # a leader is tried first if it shares a 1/SHARED of the prefix
-ROUNDS = 3              # of further leaders, before the links between components are looked for one by one
+ROUNDS = 3              # of further leaders, before the links between components are looked for one by one;
+WORTH = 10              # they end when fewer than 1 in WORTH of the compared sets link
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -69,12 +71,17 @@ def _measure(width: int):
     def run(batches):
         slots = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
-            n, fp, at = [], [], []
+            n, fp, at, held = [], [], [], 0
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
                 fp.append(_fingerprint(s) if len(s) else None)
                 at.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
-            slots += np.bincount(np.concatenate(at or [np.zeros(0, np.int32)]), minlength=len(slots))
+                held += len(s)
+                if held > HELD:
+                    slots += np.bincount(np.concatenate(at), minlength=len(slots))
+                    at, held = [], 0
+            if at:
+                slots += np.bincount(np.concatenate(at), minlength=len(slots))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
                                    pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.list_(pa.int32()))], schema=schema)
         if slots.any():
@@ -105,8 +112,15 @@ def _postings(levels, long: int, width: int, percent: int):
     def run(batches):
         table = levels.value
         known: set[int] = set()
+
+        def rows(token, fp, size, rest):
+            t, f = np.concatenate(token), np.concatenate(fp)
+            part = np.where((t >> np.uint64(56)) > long, 1 + f % PARTS, 0).astype(np.int32)
+            return pa.record_batch([pa.array(t.view(np.int64)), pa.array(f), pa.array(np.concatenate(size)),
+                                    pa.array(np.concatenate(rest)), pa.array(part)],
+                                   names=["token", "fp", "n", "rest", "part"])
         for batch in batches:
-            token, fp, size, rest = [], [], [], []
+            token, fp, size, rest, held = [], [], [], [], 0
             for s in shingle_sets(batch.column(0), width):
                 n = len(s)
                 if not n:
@@ -122,12 +136,12 @@ def _postings(levels, long: int, width: int, percent: int):
                 fp.append(np.full(p, f, dtype=np.int64))
                 size.append(np.full(p, n, dtype=np.int32))
                 rest.append(n - 1 - np.arange(p, dtype=np.int32))
+                held += p
+                if held > HELD:
+                    yield rows(token, fp, size, rest)
+                    token, fp, size, rest, held = [], [], [], [], 0
             if token:
-                t, f = np.concatenate(token), np.concatenate(fp)
-                part = np.where((t >> np.uint64(56)) > long, 1 + f % PARTS, 0).astype(np.int32)
-                yield pa.record_batch([pa.array(t.view(np.int64)), pa.array(f), pa.array(np.concatenate(size)),
-                                       pa.array(np.concatenate(rest)), pa.array(part)],
-                                      names=["token", "fp", "n", "rest", "part"])
+                yield rows(token, fp, size, rest)
     return run
 
 
@@ -155,9 +169,8 @@ def _fetch(texts: DataFrame, first: DataFrame, wanted: DataFrame, width: int) ->
         for batch in batches:
             b = batch.column(0).to_numpy() - 1
             take = np.flatnonzero((have[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
-            if len(take):
-                sets = [s for s in shingle_sets(batch.column(1).take(pa.array(take)), width)]
-                sets = [s for s in sets if len(s)]
+            for k in range(0, len(take), 256):
+                sets = [s for s in shingle_sets(batch.column(1).take(pa.array(take[k:k + 256])), width) if len(s)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.record_batch([pa.array([_fingerprint(s) for s in sets], pa.int64()),
@@ -202,7 +215,7 @@ def _nodes(links: DataFrame, followers: DataFrame) -> DataFrame:
 
 
 def _place(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    return (entries.join(nodes, "fp", "left")
+    return (entries.join(nodes.hint("merge"), "fp", "left")        # nodes grow with the corpus: one plan at every size
             .withColumns({"comp": F.coalesce("comp", "fp"), "leader": F.coalesce("leader", "fp"),
                           "beyond": F.coalesce("beyond", F.lit(0))}))
 
@@ -225,18 +238,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # enough in size; if neither is, no set of the list is. Parts of long lists
     # all stay.
     sizes = Window.partitionBy("token", "part").orderBy("n")
+    # The most central set of a list leads it: the one with the fewest rarer
+    # shingles of its own before the list's.
+    whole = Window.partitionBy("token", "part")
+    central = F.max(F.struct((F.col("rest") / F.col("n")).alias("late"), "fp", "n")).over(whole)
     close = lambda a, b: F.coalesce(100 * a >= percent * b, F.lit(False))
     entries = cut_lineage(
         texts.select("text").mapInArrow(_postings(shared, long, width, percent),
                                         "token long, fp long, n int, rest int, part int")
-        .withColumns({"_down": F.lag("n").over(sizes), "_up": F.lead("n").over(sizes)})
+        .withColumns({"_down": F.lag("n").over(sizes), "_up": F.lead("n").over(sizes), "_l": central})
         .where(close(F.col("_down"), F.col("n")) | close(F.col("n"), F.col("_up")) | (F.col("part") > 0))
-        .select("token", "fp", "n", "rest"))
-    # a first comparison of each set with the leader of most of its lists; the
-    # set with the largest part of its prefix in lists is the most central
-    central = entries.groupBy("fp", "n").agg((F.count(F.lit(1)) / _prefix("n", percent)).alias("share")).drop("n")
-    leads = entries.join(central, "fp").groupBy("token").agg(F.max(F.struct("share", "fp", "n")).alias("l"))
-    tried = cut_lineage(_tries(entries.join(leads, "token").where(F.col("fp") != F.col("l.fp")), percent))
+        .select("token", "fp", "n", "rest", F.struct("_l.fp", "_l.n").alias("l")))
+    # a first comparison of each set with the leader of most of its lists
+    tried = cut_lineage(_tries(entries.where(F.col("fp") != F.col("l.fp")), percent))
+    entries = entries.drop("l")
     ends = cut_lineage(tried.select(F.col("a").alias("fp")).union(tried.select(F.col("b").alias("fp"))).distinct())
     sets = _fetch(texts, first, ends, width)
     linked = cut_lineage(_overlaps(tried, sets).where(_link(F.col("overlap"), F.col("n"), F.col("ln"), percent)))
@@ -245,8 +260,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = linked.select("a", "b")
     nodes = _nodes(links, followers)
     # sets that did not link are compared with other members of the groups that they share lists with
-    again = cut_lineage(entries.join(ends, "fp", "left_semi")) if ROUNDS else None
-    for k in range(ROUNDS):
+    grouped = nodes.select("fp")
+    alone = tried.join(grouped.withColumnRenamed("fp", "b"), "b", "left_semi").select(F.col("a").alias("fp"))
+    some = alone.union(grouped).distinct()
+    again = None if empty(alone.join(grouped, "fp", "left_anti")) else cut_lineage(entries.join(some, "fp", "left_semi"))
+    for k in range(ROUNDS if again is not None else 0):
         placed = again.join(nodes.withColumn("grouped", F.lit(True)), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         leads = (placed.groupBy("token").agg(F.max(F.when(F.col("grouped"), F.struct(F.xxhash64("fp", F.lit(k)), "fp", "n", "comp"))).alias("l"),
                                              F.min("comp").alias("_c"), F.max("comp").alias("_d"))
@@ -254,10 +272,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         tried = cut_lineage(_tries(placed.select("token", "fp", "n", "comp").join(leads, "token")
                                    .where(F.col("comp") != F.col("l.comp")), percent))
         more = cut_lineage(_overlaps(tried, sets).where(_link(F.col("overlap"), F.col("n"), F.col("ln"), percent)).select("a", "b"))
-        if empty(more):
-            break
         links = links.union(more)
         nodes = _nodes(links, followers)
+        if more.count() * WORTH < tried.count():
+            break
     # links between components: block pairs that sizes and positions allow
     placed = _place(entries, nodes)
     band = F.floor(F.log("n") / F.log(F.lit(1.25)))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20_240_817))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -73,10 +73,13 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a (large) binary or string array."""
-    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    if not len(texts):
+        return
+    wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)
+    offsets = offsets[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     body = texts.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, dtype=np.uint8)
     i = 0

@@ -154,11 +154,9 @@ def split_cutoff(df: DataFrame, frac: float = 0.8, date_col: str = "checkin_date
 
 
 def mark_test(df: DataFrame, frac: float = 0.8, date_col: str = "checkin_date") -> DataFrame:
-    """``is_test`` = 1 from the cutoff date on. The cutoff is one row."""
-    cutoff = F.broadcast(split_cutoff(df, frac, date_col))
-    return (df.crossJoin(cutoff)
-            .withColumn("is_test", (F.col(date_col) >= F.col("split_date")).cast("int"))
-            .drop("split_date"))
+    """``is_test`` = 1 from the cutoff date on. The cutoff is a scalar
+    subquery, so a query that does not use ``is_test`` does not compute it."""
+    return df.withColumn("is_test", (F.col(date_col) >= split_cutoff(df, frac, date_col).scalar()).cast("int"))
 
 
 # sf_dir -> (path of the written valid bookings, split date)
