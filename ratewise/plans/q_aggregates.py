@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ratewise.functions.columns import DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR
 from ratewise.operators import aggregates as A
 from ratewise.plans.catalog import query
@@ -143,7 +145,6 @@ def g10_price_histogram(spark, d):
     "actual_price", 40, by="has_event", density=True, source="hb",
     extra_ctes=("hb AS (SELECT CAST(event_type <> 'None' AS INT) AS has_event, actual_price FROM bookings)",)))
 def g11_price_density_by_event(spark, d):
-    from pyspark.sql import functions as F
     b = _b(spark, d).withColumn("has_event", (F.col("event_type") != "None").cast("int"))
     return A.histogram(b, "actual_price", 40, by="has_event", density=True)
 
@@ -234,7 +235,6 @@ def g22_price_level_comparison(spark, d):
 @query("g23_position_histogram", sql_histogram(
     "(actual_price - competitor_avg_price) / competitor_avg_price * 100", 60))
 def g23_position_histogram(spark, d):
-    from pyspark.sql import functions as F
     pos = (F.col("actual_price") - F.col("competitor_avg_price")) / F.col("competitor_avg_price") * 100
     return A.histogram(_b(spark, d), pos, 60)
 
@@ -243,7 +243,6 @@ def g23_position_histogram(spark, d):
 SELECT {R('avg((actual_price - competitor_avg_price) / competitor_avg_price * 100)')} AS mean_position_pct
 FROM bookings"""))
 def g23_position_mean(spark, d):
-    from pyspark.sql import functions as F
     from ratewise.functions.columns import fin
     pos = (F.col("actual_price") - F.col("competitor_avg_price")) / F.col("competitor_avg_price") * 100
     return _b(spark, d).agg(fin(F.avg(pos)).alias("mean_position_pct"))
@@ -371,14 +370,12 @@ def g39_cancel_rate(spark, d):
 
 @query("g40_premium_histogram", sql_histogram("actual_price / base_price", 50))
 def g40_premium_histogram(spark, d):
-    from pyspark.sql import functions as F
     return A.histogram(_b(spark, d), F.col("actual_price") / F.col("base_price"), 50)
 
 
 @query("g40_premium_mean", with_bookings(f"""
 SELECT {R('avg(actual_price / base_price)')} AS mean_premium FROM bookings"""))
 def g40_premium_mean(spark, d):
-    from pyspark.sql import functions as F
     from ratewise.functions.columns import fin
     return _b(spark, d).agg(fin(F.avg(F.col("actual_price") / F.col("base_price"))).alias("mean_premium"))
 
@@ -424,7 +421,6 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        {R('actual_price / base_price')} AS price_premium, actual_price, competitor_avg_price FROM bookings
 ORDER BY {_sql_hash_order(_PKEYS, 42)}, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 2000"""))
 def g24_competitor_points(spark, d):
-    from pyspark.sql import functions as F
     from ratewise.functions.columns import fin
     from ratewise.operators.clean import sample_n
     s = sample_n(_b(spark, d), 2000, 42, _PKEYS)
@@ -459,19 +455,48 @@ def g42_qq_points(spark, d):
     return A.qq_points(_b(spark, d), "actual_price", 200)
 
 
-@query("g43_kde_by_hotel", with_bookings(f"""
-SELECT hotel_name, gi, {R('lo + gi * step')} AS x,
+def _sql_kde(col, by, k=""):
+    """(select, CTEs): the density of ``col`` by group; ``k`` keeps CTE names apart."""
+    return (f"""
+SELECT {by}, gi, {R('lo + gi * step')} AS x,
        {R('sum(exp(-0.5e0 * ((lo + gi * step - v) / h) * ((lo + gi * step - v) / h))) / (n * h * 2.5066282746310002e0)')} AS density
-FROM (SELECT b.hotel_name, b.actual_price AS v, k.n, k.h, k.lo, k.step, CAST(g.range AS INT) AS gi
-      FROM bookings b JOIN kst k USING (hotel_name), range(0, 200) g WHERE b.actual_price IS NOT NULL) t
-GROUP BY hotel_name, gi, lo, step, n, h""",
-    """kst0 AS (SELECT hotel_name, count(actual_price) AS n, stddev_samp(actual_price) * pow(count(actual_price), -0.2e0) AS h,
-                min(actual_price) AS mn, max(actual_price) AS mx FROM bookings GROUP BY hotel_name)""",
-    """kst AS (SELECT hotel_name, n, h, mn - 3e0 * h AS lo, ((mx + 3e0 * h) - (mn - 3e0 * h)) / 199 AS step FROM kst0)"""))
+FROM (SELECT b.{by}, b.{col} AS v, k.n, k.h, k.lo, k.step, CAST(g.range AS INT) AS gi
+      FROM bookings b JOIN kst{k} k USING ({by}), range(0, 200) g WHERE b.{col} IS NOT NULL) t
+GROUP BY {by}, gi, lo, step, n, h""",
+            f"""kst0{k} AS (SELECT {by}, count({col}) AS n, stddev_samp({col}) * pow(count({col}), -0.2e0) AS h,
+                min({col}) AS mn, max({col}) AS mx FROM bookings GROUP BY {by})""",
+            f"""kst{k} AS (SELECT {by}, n, h, mn - 3e0 * h AS lo, ((mx + 3e0 * h) - (mn - 3e0 * h)) / 199 AS step FROM kst0{k})""")
+
+
+@query("g43_kde_by_hotel", with_bookings(*_sql_kde("actual_price", "hotel_name")))
 def g43_kde_by_hotel(spark, d):
     return A.kde(_b(spark, d), "actual_price", "hotel_name", 200, 3.0)
 
 
+_PAIR = ["actual_price", "occupancy_rate", "lead_time_days", "competitor_avg_price"]
+_PAIR_SQL = [_sql_kde(c, "room_type", f"_{i}") for i, c in enumerate(_PAIR)]
+
+
+@query("g43_kde_by_room_type", with_bookings(
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, * FROM ({q[0]}) t{i}" for i, (c, q) in enumerate(zip(_PAIR, _PAIR_SQL))),
+    *[cte for q in _PAIR_SQL for cte in q[1:]]))
+def g43_kde_by_room_type(spark, d):
+    """One density per column and room type."""
+    from functools import reduce
+    b = _b(spark, d)
+    return reduce(lambda x, y: x.unionByName(y),
+                  [A.kde(b, c, "room_type", 200, 3.0).withColumn("feature", F.lit(c)) for c in _PAIR])
+
+
+@query("g43_pair_sample", with_bookings(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(_PAIR)}, room_type FROM bookings
+ORDER BY {_sql_hash_order(_PKEYS, 1)}, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1500"""))
+def g43_pair_sample(spark, d):
+    """The sample behind the pair plot (the limit is the feature)."""
+    from ratewise.operators.clean import sample_n
+    return sample_n(_b(spark, d), 1500, 1, _PKEYS).select(*_PKEYS, *_PAIR, "room_type")
+
+
 @query("g12_price_histogram_by_room_type", sql_histogram("actual_price", 50, by="room_type"))
 def g12_price_histogram_by_room_type(spark, d):
     return A.histogram(_b(spark, d), "actual_price", 50, by="room_type")
