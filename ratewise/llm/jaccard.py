@@ -4,7 +4,7 @@ Exact: two documents link when 100 * intersection >= percent * union of their
 sets of 64-bit shingle hashes, and the result names each document's component.
 The work follows the relations between sets:
 
-* Equal sets are one node (a fingerprint of the set), so copies cost nothing.
+* Equal sets are one node, named by a 64-bit fingerprint, so copies cost nothing.
 * Index. A linked pair shares one of the first n - ceil(t n) + 1 shingles of
   both sets under any common order. The order is by how often a shingle's hash
   slot occurs in the whole corpus (a table of fixed size), then by hash, so the
