@@ -181,11 +181,12 @@ def _fetch(texts: DataFrame, first: DataFrame, wanted: DataFrame, width: int) ->
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds the exact ``overlap`` to pairs (a, b, ...), one row a pair."""
-    one = sets.dropDuplicates(["fp"])
-    return (pairs.join(one.select(F.col("fp").alias("a"), F.col("shingles").alias("_x")), "a")
-            .join(one.select(F.col("fp").alias("b"), F.col("shingles").alias("_y")), "b")
-            .withColumn("overlap", F.size(F.array_intersect("_x", "_y"))).drop("_x", "_y"))
+    """Adds the exact ``overlap`` to pairs (a, b, ...), one row a pair. The joins
+    stand alone, so that Spark can split a leader that many pairs share; a set
+    that was fetched twice is one again once only numbers are left."""
+    return (pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_x")), "a")
+            .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_y")), "b")
+            .withColumn("overlap", F.size(F.array_intersect("_x", "_y"))).drop("_x", "_y").dropDuplicates(["a", "b"]))
 
 
 def _prefix(n: str, percent: int) -> Column:
