@@ -31,7 +31,7 @@ TARGET = "actual_price"
 SPLIT_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 # MLlib grows no tree deeper than 30, and a tree of unlimited depth needs memory in
 # proportion to its nodes on the driver; this is our setting, not the reference's.
-FOREST_DEPTH = 12
+FOREST_DEPTH = 10
 # --- fixed values: reference hyper-parameters ------------------------------
 MODEL_PARAMS = {
     "linear": {},
