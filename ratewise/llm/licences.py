@@ -1,8 +1,10 @@
 """Licences recognised by sentence rules.
 
-A text is cut into sentences at line ends and after . ! ? ; before a blank,
-each sentence is normalised (A-Z to a-z, everything but letters and digits to
-single blanks), and known licence sentences are mapped to their identifiers.
+A text is normalised (A-Z to a-z, everything but letters and digits to single
+blanks, so comment marks go too), and known licence sentences are mapped to
+their identifiers. A sentence starts and ends at line ends, after . ! ? ;
+before a blank or line end, or at a colon. A single line end or a colon may also
+stand inside, so notices may be wrapped; a blank line or a sentence end may not.
 The sequence of a text's identifiers, in order, is then matched against ordered
 rules: a rule holds where its identifiers stand next to each other in the
 sequence (other sentences may stand between them). Rules are tried from the
@@ -76,18 +78,25 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """The text's normalised sentences, in order."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;])[ \t]+", "$1\n")
-    t = F.regexp_replace(F.lower(t), r"[^a-z0-9\n]+", " ")
-    return F.transform(F.split(t, "\n"), lambda s: F.trim(s))
+def stream(text: Column) -> Column:
+    """The text normalised, with three marks: H ends a sentence, C is a colon
+    before a blank, and a line end may be a wrap."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(t, r"[.!?;][ \t]+|[.!?;:][ \t\r]*\n", "H")
+    t = F.regexp_replace(t, r":[ \t]+", "C")
+    t = F.regexp_replace(t, r"[^a-z0-9\nHC]+", " ")
+    return F.trim(F.regexp_replace(t, r" ?([\nHC]) ?", "$1"))
 
 
 def identifiers(text: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences, in order."""
+    """The identifiers of the known sentences, in order. Where several start at a place,
+    a whole line comes before a wrapped sentence, and the longest first."""
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    found = F.filter(sentences(text), lambda s: s.isin(list(known)))
-    return F.transform(found, lambda s: table[s])
+    longest = sorted(known, key=len, reverse=True)
+    end = "(?![a-z0-9 ])"
+    any_ = f"(?:{'|'.join(longest)}){end}|(?:{'|'.join(s.replace(' ', r'[ \nC]') for s in longest)}){end}"
+    found = F.regexp_extract_all(stream(text), F.lit(f"(?<![a-z0-9 ])(?:{any_})"), F.lit(0))
+    return F.transform(found, lambda s: table[F.translate(s, "\nC", "  ")])
 
 
 def _sequence(ids: list[str]) -> str:

@@ -62,6 +62,24 @@ def test_longer_rules_come_first(spark):
     assert out == {1: ["BSD-3-Clause"], 2: []}
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+    back = {v: k for k, v in licences.SENTENCES.items()}
+    rows, want = [], {}
+    for name, ids in licences.RULES:
+        for width in (70, 75, 80):
+            lines = textwrap.wrap(". ".join(back[i].capitalize() for i in ids) + ".", width)
+            for mark in ("", "# ", " * ", "// "):
+                want[len(rows)] = ids
+                rows.append((len(rows), "int x = 1;\n\n" + "\r\n".join(mark + x for x in lines) + "\n\nOther text"))
+    rows.append((len(rows), back["bsd-grant"].replace(" ", "\n", 3) + ":\n\n1. " + back["bsd-source"]))
+    want[len(rows) - 1] = ["bsd-grant", "bsd-source"]
+    for x in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert x.sentence_ids == want[x.doc_id], x.text
+    apart = spark.createDataFrame([("All rights\n\nreserved",), ("All rights.\nreserved",), ("not all rights\nreserved",)], "text string")
+    assert licences.scan(apart).where(F.size("sentence_ids") > 0).count() == 0
+
+
 # URL lists -----------------------------------------------------------------
 
 D = datetime.date
