@@ -38,14 +38,15 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(h, ":[0-9]*$", ""))
 
 
-def keys(url: Column) -> Column:
-    """Every key that names the URL: ``d:domain``, ``p:host/segments/``, ``u:host/path?query``."""
+def keys(url: Column, depth: int = DEPTH) -> Column:
+    """Every key that names the URL: ``d:domain``, ``p:host/segments/`` of up to
+    ``depth`` segments, ``u:host/path?query``."""
     u = F.coalesce(url, F.lit(""))
     h, path, rest = host(u), F.regexp_extract(u, _PATH, 1), F.regexp_extract(u, _REST, 1)
     labels = F.split(h, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    parts = F.filter(F.slice(F.split(path, "/"), 2, DEPTH), lambda s: s != "")
+    parts = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, depth)
     paths = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
                         lambda i: F.concat(F.lit("p:"), h, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
     paths = F.when(F.size(parts) > 0, paths).otherwise(F.array().cast("array<string>"))
@@ -67,15 +68,19 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def active(captures: DataFrame, entries: DataFrame, horizon: str, id_: str, url: str = "url",
            fetched: str = "fetched_at") -> DataFrame:
-    """(id, key, action) of every list entry that was active when a capture was fetched."""
-    last = F.lit(horizon).cast("date")
+    """(id, key, action) of every list entry that was active when a capture was
+    fetched. Path keys go as deep as the list's deepest entry, and intervals are
+    laid out up to the captures' last date, whatever ``horizon`` says."""
+    at_most = captures.agg(F.max(F.col(fetched).cast("date"))).first()[0]
+    last = F.lit(at_most).cast("date")
+    deepest = entries.where(F.col("key").startswith("p:")).agg(F.max(F.size(F.split("key", "/")) - 2)).first()[0]
     month = lambda d: F.year(d) * 12 + F.month(d)
     until = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
     valid = (intervals(entries).where(F.col("valid_from") <= last)
              .withColumn("month", F.explode(F.sequence(month(F.col("valid_from")), month(until)))))
     looked = (captures.where(F.col(fetched).isNotNull())
               .select(F.col(id_).alias("id"), F.col(fetched).alias("day"), month(F.col(fetched)).alias("month"),
-                      F.explode(F.array_distinct(keys(F.col(url)))).alias("key")))
+                      F.explode(F.array_distinct(keys(F.col(url), max(deepest or 0, 0)))).alias("key")))
     return (looked.join(valid, ["key", "month"])
             .where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
             .select("id", "key", "action"))
@@ -85,7 +90,7 @@ def judge(captures: DataFrame, entries: DataFrame, horizon: str, id_: str = "pag
           fetched: str = "fetched_at") -> DataFrame:
     """(id, active, matched, blocked) of every capture id that an entry was
     active for: how many there were, the key that decides, what it says.
-    ``horizon``: the last date that captures can have."""
+    ``horizon`` bounds nothing: later captures are judged too."""
     rank = F.struct(F.when(F.col("key").startswith("u:"), 3).when(F.col("key").startswith("p:"), 2).otherwise(1).alias("kind"),
                     F.length("key").alias("length"), (F.col("action") == BLOCK).alias("blocks"), F.col("key").alias("key"))
     return (active(captures, entries, horizon, id_, url, fetched).groupBy("id")

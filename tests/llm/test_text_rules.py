@@ -122,6 +122,15 @@ def test_lists_against_brute_force(spark):
     assert filter_captures(cdf.limit(0), edf, "2023-12-31").count() == 0
 
 
+def test_deep_paths_and_late_captures(spark):
+    caps = [(1, "http://h.com/a/b/c/d/e/f", D(2022, 5, 1)), (2, "http://h.com///a//b/c/d/e/", D(2030, 5, 1)),
+            (3, "http://h.com/a/b/c/d/x", D(2030, 5, 1)), (4, "http://late.org/", D(2031, 1, 1))]
+    entries = [("p:h.com/a/b/c/d/e/", "block", D(2022, 1, 1)), ("d:late.org", "block", D(2022, 1, 1))]
+    out = filter_captures(spark.createDataFrame(caps, "page_id long, url string, fetched_at date"),
+                          spark.createDataFrame(entries, "key string, action string, at date"), "2023-12-31")
+    assert {x.page_id for x in out.where("blocked").collect()} == {1, 2, 4}
+
+
 def test_intervals_meet_without_overlap(spark):
     e = [("k", "block", D(2022, 1, 1)), ("k", "allow", D(2022, 2, 1)), ("k", "remove", D(2022, 3, 1)), ("k", "block", D(2022, 4, 1)), ("k", "block", D(2022, 4, 1))]
     got = intervals(spark.createDataFrame(e, "key string, action string, at date")).orderBy("valid_from").collect()
