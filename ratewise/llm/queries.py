@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,3 +236,53 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ratewise.llm.url_lists import filter_captures
     captures, entries = _dated(read(spark, sf_dir, "pages").select("page_id", "url"))
     return filter_captures(captures, entries, "2025-12-31").select("page_id", "active", "matched", "blocked")
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm import language_id
+    from ratewise.llm.toxicity import held_out, remainder
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.learn(docs.where(remainder() != 0))
+    return language_id.predict(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def _plant(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """The texts with every tenth (by the id's crc32) made periodic from some word on."""
+    out = []
+    for doc_id, text in zip(ids.to_pylist(), texts):
+        text = text.as_py()
+        h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        if h % 10 == 0 and (words := (text or b"").split()):
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            text = b" ".join(words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a])
+        out.append(text)
+    return pa.array(out, pa.binary())
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ratewise.llm.periodic_runs import periodic_runs
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = periodic_runs(docs, F.arrow_udf(_plant, "binary")(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))), 1)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"),
+                       F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                       F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+            .select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                    F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+                    "runs_sha256", "collapsed_sha256"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from ratewise.llm.token_alignment import align
+    docs, _ = align(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                    public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
