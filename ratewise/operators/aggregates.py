@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
-    DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR, fin, lead_time_bucket, occ_band,
+    DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR, fin, lead_time_bucket, normal_quantile, occ_band,
     relabel, sample_skew, year_month,
 )
-from ratewise.operators.quantiles import column_quantiles, exact_quantiles, quantiles_of_counts, value_counts
+from ratewise.operators.quantiles import column_quantiles, exact_quantiles, order_statistics, quantiles_of_counts, value_counts
 
 TARGET = "actual_price"
 
@@ -394,24 +394,35 @@ def premium_pct(df: DataFrame) -> DataFrame:
                       fin((F.col("avg_in") / F.col("avg_out") - 1) * 100).alias("premium_pct"))
 
 
-def filliben_positions(m: int) -> list[float]:
-    """Uniform order-statistic medians for ``m`` points (normal probability plot)."""
-    last = 0.5 ** (1.0 / m)
-    return [1.0 - last] + [(i - 0.3175) / (m + 0.365) for i in range(2, m)] + [last]
-
-
-def qq_points(df: DataFrame, col: str, m: int = 200) -> DataFrame:
-    """Normal Q-Q points at ``m`` Filliben positions: the theoretical
-    normal quantile (a literal per position, ``m`` is a parameter) against
-    the exact sample quantile."""
-    from statistics import NormalDist
-    probs = filliben_positions(m)
-    nd = NormalDist()
-    theo = df.sparkSession.createDataFrame(
-        [(i, p, nd.inv_cdf(p)) for i, p in enumerate(probs)], "i int, p double, theoretical double")
-    q = exact_quantiles(df, col, probs).select(F.posexplode("q").alias("i", "sample"))
-    return (F.broadcast(theo).join(q, "i")
-            .select("i", fin("p").alias("p"), fin("theoretical").alias("theoretical"), fin("sample").alias("sample")))
+def filliben(i: Column, n: Column) -> Column:
+    """Uniform order-statistic median of the ``i``-th of ``n`` sorted values (normal probability plot)."""
+    last = F.pow(F.lit(0.5), 1 / n)
+    return F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
+
+
+def qq_points(df: DataFrame, col: str, m: int | None = None) -> DataFrame:
+    """Normal Q-Q points: the theoretical normal quantile at each Filliben
+    position against the sample. By default a point for every non-null row (all order
+    statistics, ranks by range); with ``m``, at ``m`` positions, from exact quantiles."""
+    if m is None:
+        points = order_statistics(df, F.col(col).cast("double"), "sample")
+    else:
+        spark = df.sparkSession
+        last = 0.5 ** (1.0 / m)
+        probs = [1.0 - last] + [(i - 0.3175) / (m + 0.365) for i in range(2, m)] + [last]
+        points = (exact_quantiles(df, col, probs).select(F.posexplode("q").alias("i", "sample"))
+                  .select((F.col("i") + 1).cast("long").alias("i"), "sample", F.lit(m).alias("n")))
+    p = filliben(F.col("i"), F.col("n"))
+    return points.select((F.col("i") - 1).alias("i"), fin(p).alias("p"), fin(normal_quantile(p)).alias("theoretical"),
+                         fin("sample").alias("sample"))
+
+
+def qq_fit(df: DataFrame, col: str) -> DataFrame:
+    """The least-squares line through all Q-Q points and its correlation (one row)."""
+    points = order_statistics(df, F.col(col).cast("double"), "sample")
+    z = points.select("sample", normal_quantile(filliben(F.col("i"), F.col("n"))).alias("z"))
+    return z.agg(fin(F.regr_slope("sample", "z")).alias("slope"), fin(F.regr_intercept("sample", "z")).alias("intercept"),
+                 fin(F.corr("sample", "z")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0,

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
     EVENT_PREMIUM, cyclic, lead_time_bucket, map_lookup, rnd,
 )
-from ratewise.operators.quantiles import column_quantiles
+from ratewise.operators.quantiles import column_quantiles, prefix_sums
 
 # --- fixed values: model feature list and encoded columns -----------------
 FEATURE_COLS = [
@@ -128,16 +128,15 @@ def engineer_report(df: DataFrame) -> DataFrame:
 def label_maps(df: DataFrame, cols: Sequence[str] = ENCODED_COLS) -> DataFrame:
     """F14 mapping table: (column, value, code), codes alphabetical from 0.
 
-    Distinct values per column come from a grouped aggregation; the codes
-    are a ``dense_rank`` partitioned by column, so each column is ranked
-    in its own task.
+    Distinct values come from a grouped aggregation. Their codes are their places
+    among the column's sorted values, counted over range partitions
+    (``prefix_sums``): no task holds a column's values.
     """
     cols = [c for c in cols if c in df.columns]
     vals = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                for c in cols]))
     distinct = df.select(vals.alias("v")).select("v.*").filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    return prefix_sums(distinct, ["column"], ["value"]).select("column", "value", F.col("_before").cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str] = ENCODED_COLS, maps: DataFrame | None = None) -> DataFrame:

@@ -160,6 +160,31 @@ def prepared_split(bookings: DataFrame, cols: Sequence[str] = FEATURE_COLS):
     return train_v, test_v
 
 
+def whole_vectors(df: DataFrame, stats: dict, cols: Sequence[str] = FEATURE_COLS, scale: int = 10_000) -> DataFrame:
+    """Adds ``vector``: the scaled features in whole 1/``scale`` of a standard
+    deviation, so that squared distances are exact and ties are true ties."""
+    scaled = standardize(df, safe_features(cols), stats)
+    return scaled.withColumn("vector", F.array(*[F.floor(F.col(f"{c}_scaled") * scale + 0.5).cast("double") for c in cols])) \
+                 .drop(*[f"{c}_scaled" for c in cols])
+
+
+def knn_regression(bookings: DataFrame, k: int = 7, cols: Sequence[str] = FEATURE_COLS, **options) -> DataFrame:
+    """Every test row's price as the mean of its ``k`` nearest train rows,
+    weighted by 1 / distance over the scaled features (exact, see ``neighbours``)."""
+    from ratewise.operators.neighbours import knn_join, weighted_value
+    from ratewise.session import cut_lineage
+    table = cut_lineage(model_table(bookings).select(*SPLIT_KEYS, *cols, TARGET, "is_test"))
+    train, test = chrono_split(table)
+    stats = scaler_stats(train, cols)
+    points = whole_vectors(train, stats, cols).select(*SPLIT_KEYS, TARGET, "vector")
+    asked = whole_vectors(test, stats, cols).select(*SPLIT_KEYS, TARGET, "vector")
+    found = knn_join(asked, points, k, "vector", SPLIT_KEYS, TARGET, **options)
+    unit = 10_000.0
+    return found.select(*SPLIT_KEYS, TARGET, weighted_value("neighbours", TARGET).alias("prediction"),
+                        (F.sqrt(F.element_at("neighbours", 1)["d"]) / unit).alias("nearest"),
+                        (F.sqrt(F.element_at("neighbours", -1)["d"]) / unit).alias("farthest"))
+
+
 def leaderboard(kinds: Sequence[str], train: DataFrame, test: DataFrame, cv: Sequence[str] = (), folds: int = 5,
                 workers: int = 3, **override) -> DataFrame:
     """Fit each model (``workers`` at a time) and rank by R2.

@@ -23,20 +23,47 @@ def value_counts(df: DataFrame, x: str | Column, by: Sequence[str] = (), name: s
             .groupBy(*by, name).agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """(by..., q): the quantiles of each group of a ``value_counts`` table."""
-    by = list(by)
-    ranges = cut_lineage(counts.repartitionByRange(*by, name).withColumn("_p", F.spark_partition_id()))
-    total = ranges.groupBy(*by, "_p").agg(F.sum("n").alias("_t"))
+def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | Column = "1") -> DataFrame:
+    """``df`` with ``_before``, the sum of ``weight`` over the rows that come earlier in
+    the order within a row's group, and ``_all``, the group's sum.
+
+    The rows are cut into ranges of (by, order); sums run inside a range, and only
+    one row a range and group meets in a window. Rows that tie in (by, order) lie in one
+    range, so the order should be (nearly) unique: count equal values first.
+    """
+    by, order = list(by), list(order)
+    w = F.expr(weight) if isinstance(weight, str) else weight
+    ranges = cut_lineage(df.withColumn("_w", w.cast("long")).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    total = ranges.groupBy(*by, "_p").agg(F.sum("_w").alias("_t"))
     group = Window.partitionBy(*by)
     offsets = total.select(*[F.col(b).alias(f"_k_{b}") for b in by], F.col("_p").alias("_q"),
-                           (F.sum("_t").over(group.orderBy("_p")) - F.col("_t")).alias("_before"),
+                           (F.sum("_t").over(group.orderBy("_p")) - F.col("_t")).alias("_start"),
                            F.sum("_t").over(group).alias("_all"))
     same = F.col("_p") == F.col("_q")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    upto = F.sum("n").over(Window.partitionBy(*by, "_p").orderBy(name))
-    ranked = ranges.withColumn("_upto", upto).join(offsets, same).withColumn("_hi", F.col("_before") + F.col("_upto"))
+    upto = F.sum("_w").over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return (ranges.withColumn("_upto", upto - F.col("_w")).join(offsets, same)
+            .withColumn("_before", F.col("_start") + F.col("_upto"))
+            .drop("_p", "_q", "_w", "_upto", "_start", *[f"_k_{b}" for b in by]))
+
+
+def order_statistics(df: DataFrame, x: str | Column, name: str = "value", step: int = 100_000) -> DataFrame:
+    """(i, value, n): every non-null value with its 1-based place in the sorted column
+    of ``n`` values, a row an occurrence. A value that many rows share is dealt out in
+    stretches of ``step`` rows, so none becomes one task's work."""
+    at = prefix_sums(value_counts(df, x, name=name), [], [name], "n")
+    stretches = at.select(name, F.col("_all").alias("n"), (F.col("_before") + F.col("n")).alias("_hi"), F.explode(F.sequence(
+        F.col("_before") + 1, F.col("_before") + F.col("n"), F.lit(step).cast("long"))).alias("_lo"))
+    # more than one stretch a value is the rule only where values repeat a lot; dealing costs a row a stretch
+    return (stretches.repartition("_lo")
+            .select(F.explode(F.sequence("_lo", F.least(F.col("_lo") + step - 1, F.col("_hi")))).alias("i"), name, "n"))
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (), name: str = "value") -> DataFrame:
+    """(by..., q): the quantiles of each group of a ``value_counts`` table."""
+    by = list(by)
+    ranked = prefix_sums(counts, by, [name], "n").withColumn("_hi", F.col("_before") + F.col("n"))
     # each value hands over the wanted ranks that it holds: a few rows a group
     at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("_all") - 1))
     wanted = F.array_distinct(F.concat(F.transform(at, lambda r: F.floor(r)), F.transform(at, lambda r: F.ceil(r))))

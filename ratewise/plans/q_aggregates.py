@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR
+from ratewise.functions.columns import DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR, PPF_FAR, PPF_MIDDLE, PPF_NEAR
 from ratewise.operators import aggregates as A
 from ratewise.plans.catalog import query
 from ratewise.plans.oracle import R, with_bookings
@@ -438,21 +438,38 @@ def g44_points(spark, d):
     return s.select(*_PKEYS, "occupancy_rate", "demand_score", "event_magnitude", "actual_price")
 
 
-def _sql_qq(col, m):
-    from statistics import NormalDist
-    from ratewise.plans.oracle import D
-    probs = A.filliben_positions(m)
-    nd = NormalDist()
-    vals = ", ".join(f"({i}, {D(p)}, {D(nd.inv_cdf(p))})" for i, p in enumerate(probs))
-    plist = ", ".join(D(p) for p in probs)
-    return with_bookings(f"""
-SELECT t.i, {R('t.p')} AS p, {R('t.z')} AS theoretical, {R('q[t.i + 1]')} AS sample
-FROM (SELECT quantile_cont({col}, [{plist}]) AS q FROM bookings) s, (VALUES {vals}) t(i, p, z)""")
+def _sql_ratio(r, parts):
+    def poly(coefs):
+        out, *rest = [repr(a) if "e" in repr(a) else f"{a!r}e0" for a in reversed(coefs)]
+        for a in rest:
+            out = f"({out} * {r} + {a})"
+        return out
+    return f"({poly(parts[0])} / {poly(parts[1])})"
+
+
+def _sql_qq(col):
+    """(select, CTEs): all order statistics of ``col`` and their normal quantiles ``z``."""
+    middle, near, far = _sql_ratio("r0", PPF_MIDDLE), _sql_ratio("(r1 - 1.6e0)", PPF_NEAR), _sql_ratio("(r1 - 5e0)", PPF_FAR)
+    return (f"SELECT i - 1 AS i, {R('p')} AS p, {R('z')} AS theoretical, {R('sample')} AS sample FROM qqz",
+            f"""qq0 AS (SELECT CAST({col} AS DOUBLE) AS sample, row_number() OVER (ORDER BY {col}) AS i, count(*) OVER () AS n
+                FROM bookings WHERE {col} IS NOT NULL)""",
+            """qq1 AS (SELECT *, CASE WHEN i = n THEN pow(5e-1, 1e0 / n) WHEN i = 1 THEN 1 - pow(5e-1, 1e0 / n)
+                ELSE (i - 3175e-4) / (n + 365e-3) END AS p FROM qq0)""",
+            "qq2 AS (SELECT *, 180625e-6 - (p - 5e-1) * (p - 5e-1) AS r0, sqrt(-ln(least(p, 1 - p))) AS r1 FROM qq1)",
+            f"""qqz AS (SELECT *, CASE WHEN abs(p - 5e-1) <= 425e-3 THEN (p - 5e-1) * {middle}
+                ELSE sign(p - 5e-1) * CASE WHEN r1 <= 5 THEN {near} ELSE {far} END END AS z FROM qq2)""")
 
 
-@query("g42_qq_points", _sql_qq("actual_price", 200))
+@query("g42_qq_points", with_bookings(*_sql_qq("actual_price")))
 def g42_qq_points(spark, d):
-    return A.qq_points(_b(spark, d), "actual_price", 200)
+    return A.qq_points(_b(spark, d), "actual_price")
+
+
+@query("g42_qq_fit", with_bookings(
+    f"SELECT {R('regr_slope(sample, z)')} AS slope, {R('regr_intercept(sample, z)')} AS intercept, {R('corr(sample, z)')} AS r, "
+    "count(*) AS n FROM qqz", *_sql_qq("actual_price")[1:]))
+def g42_qq_fit(spark, d):
+    return A.qq_fit(_b(spark, d), "actual_price")
 
 
 def _sql_kde(col, by, k=""):

@@ -20,6 +20,7 @@ from ratewise.plans.catalog import query
 from ratewise.plans.oracle import R, with_bookings
 from ratewise.plans.q_aggregates import sql_histogram
 from ratewise.plans.q_clean import _sql_hash
+from ratewise.plans.q_features import ENC_CTE, FEAT_CTE, LABEL_MAP_CTE
 from ratewise.plans.q_recommend import RULE_CTE, requests_from
 from ratewise.sources.bookings import bookings
 
@@ -135,6 +136,35 @@ for _code, _kind in (("m03", "linear"), ("m04", "ridge"), ("m05", "lasso"), ("m0
     query(f"{_code}_fit_{_kind}")(_fit(_kind))
 
 
+_KEYS = ", ".join(_INT_KEYS)
+_WHOLE = ", ".join(f"CASE WHEN {c}__s <> 0 THEN floor((coalesce(CAST({c} AS DOUBLE), 0e0) - {c}__m) / {c}__s * 10000 + 5e-1) ELSE 0e0 END"
+                   for c in FEATURE_COLS)
+_KNN_CTES = (FEAT_CTE, LABEL_MAP_CTE, ENC_CTE, "sc AS (SELECT " + ", ".join(
+    f"avg(coalesce(CAST({c} AS DOUBLE), 0e0)) AS {c}__m, stddev_pop(coalesce(CAST({c} AS DOUBLE), 0e0)) AS {c}__s"
+    for c in FEATURE_COLS) + " FROM enc WHERE is_test = 0)",
+    f"vec AS (SELECT {_KEYS}, actual_price, is_test, CAST([{_WHOLE}] AS DOUBLE[{len(FEATURE_COLS)}]) AS v FROM enc, sc)",
+    f"""near AS (SELECT q.l_orderkey, q.l_linenumber, q.l_partkey, q.l_suppkey, any_value(q.actual_price) AS actual_price,
+              min({{d: array_distance(q.v, p.v), a: p.l_orderkey, b: p.l_linenumber, c: p.l_partkey, e: p.l_suppkey, y: p.actual_price}}, 7) AS n
+         FROM vec q, vec p WHERE q.is_test = 1 AND p.is_test = 0 GROUP BY 1, 2, 3, 4)""",
+    """used AS (SELECT *, CASE WHEN n[1].d = 0 THEN list_filter(n, lambda x: x.d = 0) ELSE n END AS u FROM near)""")
+_KNN_PRICE = """list_sum(list_transform(u, lambda x: CASE WHEN x.d = 0 THEN x.y ELSE x.y / x.d END))
+             / list_sum(list_transform(u, lambda x: CASE WHEN x.d = 0 THEN 1e0 ELSE 1 / x.d END))"""
+
+
+@query("m10_knn", with_bookings(f"""
+SELECT {_KEYS}, {R(_KNN_PRICE)} AS prediction, {R("n[1].d / 1e4")} AS nearest, {R("n[-1].d / 1e4")} AS farthest FROM used""", *_KNN_CTES))
+def m10_knn(spark, d):
+    """The price of every test row from its 7 nearest train rows."""
+    out = M.knn_regression(bookings(spark, d))
+    return out.select(*_INT_KEYS, *[fin(c).alias(c) for c in ("prediction", "nearest", "farthest")])
+
+
+@query("m10_knn_metrics")
+def m10_knn_metrics(spark, d):
+    """M11 of the k-nearest-neighbour predictions."""
+    return M.metrics(M.knn_regression(bookings(spark, d))).withColumn("model", F.lit("knn"))
+
+
 @query("m12_cross_validate_linear")
 def m12_cross_validate_linear(spark, d):
     train, _ = M.prepared_split(bookings(spark, d))
