@@ -187,12 +187,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 # date from its id; entries from its host, the first segment of its path and
 # (every tenth page) its URL, dated and dealt by an md5 of the key.
 OP6_SQL = r"""
-WITH cap AS (SELECT page_id, url, DATE '2021-01-01' + (page_id * 7919 % 1461)::INT AS fetched_at,
+WITH cap AS (SELECT row_number() OVER () AS r, page_id, url, DATE '2021-01-01' + (page_id * 7919 % 1461)::INT AS fetched_at,
        lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS h,
        regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
        regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest FROM pages),
-parts AS (SELECT *, string_split(h, '.') AS labels, list_filter(string_split(path, '/')[2:5], lambda s: s <> '') AS segs FROM cap WHERE h <> ''),
-keyed AS (SELECT page_id, fetched_at, unnest(list_distinct(
+parts AS (SELECT *, string_split(h, '.') AS labels, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM cap WHERE h <> ''),
+keyed AS (SELECT r, fetched_at, unnest(list_distinct(
        list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: 'd:' || array_to_string(labels[i:], '.'))
        || list_transform(range(1, len(segs) + 1), lambda i: 'p:' || h || '/' || array_to_string(segs[1:i], '/') || '/')
        || ['u:' || h || rest])) AS key FROM parts),
@@ -204,11 +204,11 @@ events AS (SELECT key, CASE WHEN a % 3 = 0 THEN 'allow' ELSE 'block' END AS acti
   UNION ALL SELECT key, 'block', DATE '2021-01-01' + (a % 1200 + 500 + b % 300)::INT FROM hashed WHERE b % 5 = 0),
 last AS (SELECT key, day, max(action) AS action FROM events GROUP BY key, day),
 valid AS (SELECT * FROM (SELECT key, action, day AS f, lead(day) OVER (PARTITION BY key ORDER BY day) AS t FROM last) WHERE action <> 'remove'),
-hit AS (SELECT page_id, k.key, action FROM keyed k JOIN valid v ON k.key = v.key AND fetched_at >= f AND (t IS NULL OR fetched_at < t)),
-best AS (SELECT page_id, count(DISTINCT key) AS active,
-       max({k: CASE key[1] WHEN 'u' THEN 3 WHEN 'p' THEN 2 ELSE 1 END, l: length(key), b: action = 'block', key: key}) AS top FROM hit GROUP BY page_id)
-SELECT p.page_id, coalesce(active, 0) AS active, top.key AS matched, coalesce(top.b, false) AS blocked
-FROM pages p LEFT JOIN best ON p.page_id = best.page_id
+hit AS (SELECT r, k.key, action FROM keyed k JOIN valid v ON k.key = v.key AND fetched_at >= f AND (t IS NULL OR fetched_at < t)),
+best AS (SELECT r, count(DISTINCT key) AS active,
+       max({k: CASE key[1] WHEN 'u' THEN 3 WHEN 'p' THEN 2 ELSE 1 END, l: length(key), b: action = 'block', key: key}) AS top FROM hit GROUP BY r)
+SELECT page_id, coalesce(active, 0) AS active, top.key AS matched, coalesce(top.b, false) AS blocked
+FROM cap LEFT JOIN best ON cap.r = best.r
 """
 
 
@@ -235,7 +235,7 @@ def _dated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ratewise.llm.url_lists import filter_captures
     captures, entries = _dated(read(spark, sf_dir, "pages").select("page_id", "url"))
-    return filter_captures(captures, entries, "2025-12-31").select("page_id", "active", "matched", "blocked")
+    return filter_captures(captures, entries).select("page_id", "active", "matched", "blocked")
 
 
 @query("op11_language_id")

@@ -105,7 +105,7 @@ def test_lists_against_brute_force(spark):
     events += [(None, "block", day(), 0), ("d:b.org", None, day(), 0), ("d:b.org", "block", None, 0), ("d:b.org", "other", day(), 0)]
     cdf = spark.createDataFrame(caps, "page_id long, url string, fetched_at date").withColumn("key", F.lit("x"))
     edf = spark.createDataFrame(events, "key string, action string, at date, seq int")
-    got = {x.page_id: (x.active, x.matched, x.blocked) for x in filter_captures(cdf, edf, "2023-12-31").collect()}
+    got = {x.page_id: (x.active, x.matched, x.blocked) for x in filter_captures(cdf, edf).collect()}
     every = {x.page_id: x.k for x in cdf.select("page_id", keys(F.col("url")).alias("k")).collect()}
     want = {}
     for i, _, at in caps:
@@ -118,8 +118,8 @@ def test_lists_against_brute_force(spark):
         top = max(state, key=rank, default=None)
         want[i] = (len(state), top, top is not None and state[top] == "block")
     assert got == want
-    assert filter_captures(cdf, edf.limit(0), "2023-12-31").where("blocked or active > 0").count() == 0
-    assert filter_captures(cdf.limit(0), edf, "2023-12-31").count() == 0
+    assert filter_captures(cdf, edf.limit(0)).where("blocked or active > 0").count() == 0
+    assert filter_captures(cdf.limit(0), edf).count() == 0
 
 
 def test_deep_paths_and_late_captures(spark):
@@ -127,10 +127,21 @@ def test_deep_paths_and_late_captures(spark):
             (3, "http://h.com/a/b/c/d/x", D(2030, 5, 1)), (4, "http://late.org/", D(2031, 1, 1))]
     entries = [("p:h.com/a/b/c/d/e/", "block", D(2022, 1, 1)), ("d:late.org", "block", D(2022, 1, 1))]
     out = filter_captures(spark.createDataFrame(caps, "page_id long, url string, fetched_at date"),
-                          spark.createDataFrame(entries, "key string, action string, at date"), "2023-12-31")
+                          spark.createDataFrame(entries, "key string, action string, at date"))
     assert {x.page_id for x in out.where("blocked").collect()} == {1, 2, 4}
 
 
+def test_verdicts_do_not_depend_on_ids(spark):
+    d = D(2022, 5, 1)
+    caps = [(1, "http://a.com/x", d), (1, "http://b.com/y", d), (None, "http://a.com/z", d), (None, None, d), (2, "http://a.com/x", D(2021, 1, 1)),
+            (3, "http://a.com/x", d), (3, "http://a.com/x", d)]
+    entries = spark.createDataFrame([("d:a.com", "block", D(2022, 1, 1))], "key string, action string, at date")
+    out = filter_captures(spark.createDataFrame(caps, "page_id long, url string, fetched_at date").withColumn("matched", F.lit(1)), entries)
+    want = [(*c, int(b), "d:a.com" if b else None, b) for c, b in zip(caps, [True, False, True, False, False, True, True])]
+    assert out.columns == ["page_id", "url", "fetched_at", "active", "matched", "blocked"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+
+
 def test_intervals_meet_without_overlap(spark):
     e = [("k", "block", D(2022, 1, 1)), ("k", "allow", D(2022, 2, 1)), ("k", "remove", D(2022, 3, 1)), ("k", "block", D(2022, 4, 1)), ("k", "block", D(2022, 4, 1))]
     got = intervals(spark.createDataFrame(e, "key string, action string, at date")).orderBy("valid_from").collect()
