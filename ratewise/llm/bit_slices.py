@@ -21,13 +21,19 @@ meet groups of ``QUERIES`` queries, one pair a row.
 A vector takes no part, as query or candidate, when it is null or empty or holds
 a null or non-finite component. Only vectors of equal length meet. An id that
 repeats is one row, the smallest vector in array order; a null id takes no
-part. Codes are limited to +-2^26, so that products of up to 512 components
-fit a long. A query's own id is no candidate. Ties go to the smaller id. Extra
+part. A query's own id is no candidate. Ties go to the smaller id. Extra
 columns are ignored; an empty table gives an empty result.
+
+Codes have no bound: a finite double is a whole number times a power of two, and rows
+with a code of 2^26 or more lie in blocks of their own, which get as many
+slices as they need and whole-number products of any length. Ranks follow the true
+scores. A score outside a long's range is shown as the nearest long.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,19 +48,32 @@ LIMIT = 2 ** 26
 _WORD = 64
 
 
-def codes(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, code): the vectors that take part, as whole numbers."""
+def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v, wide): the vectors that take part; ``wide`` if a code is beyond +-``LIMIT``."""
     x = F.col("v")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size(x) > 0)
     return (df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
             .where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
             .groupBy("id").agg(F.min("v").alias("v"))
-            .select("id", F.transform("v", lambda e: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(e * SCALE)))
-                                      .cast("int")).alias("code")))
+            .withColumn("wide", F.exists("v", lambda e: F.abs(e) >= LIMIT / SCALE)))
+
+
+def _codes(packed: bytes, rows: int, wide: bool) -> np.ndarray:
+    """The whole numbers floor(64 x) of packed vectors: int64, or Python's numbers of any length."""
+    if not wide:
+        return np.frombuffer(packed, dtype=np.int32).astype(np.int64).reshape(rows, -1)
+    v = np.frombuffer(packed, dtype=np.float64)     # from 2^46 on a double is whole, and times 64 might be none
+    return np.array([int(x) * SCALE if abs(x) >= 2.0 ** 46 else math.floor(x * SCALE) for x in v.tolist()],
+                    dtype=object).reshape(rows, -1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+def _order_key(score: int) -> bytes:
+    """Bytes that sort as whole numbers of any size do."""
+    size = (abs(score).bit_length() + 7) // 8
+    digits = abs(score).to_bytes(size, "big")
+    if score >= 0:
+        return b"\x01" + size.to_bytes(4, "big") + digits
+    return b"\x00" + (2 ** 32 - 1 - size).to_bytes(4, "big") + bytes(255 - b for b in digits)
 
 
 def _pack(rows: np.ndarray) -> np.ndarray:
@@ -79,11 +98,11 @@ class Block:
 
     def scores(self, q: np.ndarray) -> list[np.ndarray]:
         """The slices of q . row (plus a constant), least significant first."""
-        size, negative = np.abs(q), q < 0
+        size, negative = np.abs(q), (q < 0).astype(bool)
         base = self.slices ^ np.where(negative, ~np.uint64(0), np.uint64(0))[None, :, None]
         planes: dict[int, list[np.ndarray]] = {}
         for j in range(int(size.max()).bit_length()):
-            has = np.flatnonzero((size >> j) & 1)
+            has = np.flatnonzero(((size >> j) & 1).astype(bool))
             if len(has):
                 for i in range(self.bits):
                     planes.setdefault(i + j, []).append(base[i][has])
@@ -141,53 +160,63 @@ class Block:
 def _search(k: int):
     def run(batches):
         for batch in batches:
-            block_ids, block_codes, query_ids, query_codes = (batch.column(i) for i in range(4))
-            for r in range(batch.num_rows):
-                ids = np.frombuffer(block_ids[r].as_py(), dtype=np.int64)
-                block = Block(ids, np.frombuffer(block_codes[r].as_py(), dtype=np.int32).astype(np.int64).reshape(len(ids), -1))
-                qid = np.frombuffer(query_ids[r].as_py(), dtype=np.int64)
-                qs = np.frombuffer(query_codes[r].as_py(), dtype=np.int32).astype(np.int64).reshape(len(qid), -1)
-                a, b, c = [], [], []
+            for r in batch.to_pylist():
+                ids = np.frombuffer(r["block_ids"], dtype=np.int64)
+                block = Block(ids, _codes(r["block_codes"], len(ids), r["block_wide"]))
+                qid = np.frombuffer(r["query_ids"], dtype=np.int64)
+                qs = _codes(r["query_codes"], len(qid), r["query_wide"])
+                wide = r["block_wide"] or r["query_wide"]
+                a, b, c, keys = [], [], [], []
                 for own, q in zip(qid, qs):
+                    if wide:
+                        q = q.astype(object)
                     found, score = block.top(q, own, k)
                     a.append(np.full(len(found), own))
                     b.append(found)
-                    c.append(score)
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, c)],
-                                      names=["query_id", "vec_id", "score"])
+                    keys += [_order_key(int(x)) for x in score] if wide else [None] * len(found)
+                    c.append(np.array([max(-2 ** 63, min(2 ** 63 - 1, int(x))) for x in score], dtype=np.int64) if wide else score)
+                yield pa.record_batch([*[pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, c)], pa.array(keys, pa.binary())],
+                                      names=["query_id", "vec_id", "score", "key"])
     return run
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows dealt to blocks of about ``size`` by a hash of their id, one row a block."""
-    counts = rows.groupBy(F.size("code").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / size).alias("_blocks"))
+    """Rows dealt to blocks of about ``size`` by a hash of their id, one row a block; wide rows lie apart."""
+    counts = rows.groupBy(F.size("v").alias("dim"), "wide").agg(F.ceil(F.count(F.lit(1)) / size).alias("_blocks"))
 
-    def pack(key: tuple, table: pa.Table) -> pa.Table:
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows_ = table.combine_chunks()
-        code = _matrix(rows_["code"].chunk(0)).astype(np.int32)
-        return pa.table({f"{name}_ids": pa.array([rows_["id"].to_numpy().tobytes()], pa.binary()),
-                         f"{name}_codes": pa.array([code.tobytes()], pa.binary()),
-                         "dim": pa.array([key[0].as_py()], pa.int32()), f"{name}_no": pa.array([key[1].as_py()], pa.int64())})
-    dealt = (rows.withColumn("dim", F.size("code")).join(counts, "dim")
-             .withColumn("block", F.pmod(F.xxhash64("id", F.lit(name)), F.col("_blocks"))).select("id", "code", "dim", "block"))
-    return dealt.groupBy("dim", "block").applyInArrow(
-        pack, f"{name}_ids binary, {name}_codes binary, dim int, {name}_no long")
+        dim, wide, number = (x.as_py() for x in key)
+        v = rows_["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows_), -1)
+        data = v.tobytes() if wide else np.floor(v * SCALE).astype(np.int32).tobytes()
+        return pa.table({f"{name}_ids": pa.array([rows_["id"].to_numpy().tobytes()], pa.binary()), f"{name}_codes": pa.array([data], pa.binary()),
+                         "dim": pa.array([dim], pa.int32()), f"{name}_wide": pa.array([wide], pa.bool_()),
+                         f"{name}_no": pa.array([number], pa.int64())})
+    dealt = (rows.withColumn("dim", F.size("v")).join(counts, ["dim", "wide"])
+             .withColumn("block", F.pmod(F.xxhash64("id", F.lit(name)), F.col("_blocks"))).select("id", "v", "dim", "wide", "block"))
+    return dealt.groupBy("dim", "wide", "block").applyInArrow(
+        pack, f"{name}_ids binary, {name}_codes binary, dim int, {name}_wide boolean, {name}_no long")
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for every row that
     ``queries`` (a condition on ``vec_id``) names."""
     ship_package(df.sparkSession)
-    rows = cut_lineage(codes(df, key, vector))
+    rows = cut_lineage(usable(df, key, vector))
     blocks = _packed(rows, BLOCK, "block")
     asked = cut_lineage(_packed(rows.withColumn(key, F.col("id")).where(queries).drop(key), QUERIES, "query"))
-    groups = asked.groupBy("dim").agg(F.max("query_no").alias("_last"))     # one row a vector length
+    groups = asked.groupBy("dim", "query_wide").agg(F.max("query_no").alias("_last"))     # one or two rows a vector length
     pairs = (blocks.join(groups, "dim")
              .withColumn("query_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-             .join(asked, ["dim", "query_no"])
-             .select("block_ids", "block_codes", "query_ids", "query_codes")
+             .join(asked, ["dim", "query_wide", "query_no"])
+             .select("block_ids", "block_codes", "block_wide", "query_ids", "query_codes", "query_wide")
              .repartition("block_ids", "query_ids"))
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long, key binary")
+    if rows.where("wide").take(1):              # scores of any length
+        exact = F.udf(_order_key, "binary")
+        found = found.withColumn("key", F.coalesce("key", exact("score")))
+    else:
+        found = found.withColumn("key", F.col("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,13 +83,13 @@ def test_a_large_group_of_copies_and_near_copies(spark):
 
 
 def brute_top(rows, k):
-    use = {i: [int(np.floor(64 * float(x))) for x in np.float32(v)] for i, v, _ in sorted(
-        (r for r in rows if r[0] is not None and valid(r[1])), key=lambda r: r[0]) if max(map(abs, v)) < 1e5}
+    use = {i: [math.floor(Fraction(float(x)) * 64) for x in np.float32(v)] for i, v, _ in sorted(
+        (r for r in rows if r[0] is not None and valid(r[1])), key=lambda r: r[0])}
     out = []
     for q, v in use.items():
         if q % 20 == 0:
             s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in use.items() if i != q and len(w) == len(v))
-            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:k])]
+            out += [(q, n + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -x))) for n, (x, i) in enumerate(s[:k])]
     return sorted(out)
 
 
@@ -105,5 +108,17 @@ def test_top_k_of_few_rows(spark):
     assert top_k(spark.createDataFrame([(20, [1.0], 1)], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
     three = spark.createDataFrame([(20, [1.0], 1), (3, [-2.0], 1), (7, [-2.0], None)], SCHEMA)
     assert [tuple(r) for r in top_k(three, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(20, 1, 3, -8192), (20, 2, 7, -8192)]
-    rows = spark.createDataFrame([(40, [3e38, 1.0], 1), (1, [3e38, -1.0], 1)], SCHEMA)    # beyond the code limit
-    assert top_k(rows, F.col("vec_id") % 20 == 0).first().score == 2 ** 52 - 64 * 64
+
+
+def test_codes_of_any_size(spark):
+    wide = "vec_id long, embedding array<double>, label long"
+    rows = [(0, [1.0, 0.0]), (1, [2e6, 0.0]), (2, [3e6, 0.0]), (3, [1e300, 0.0]), (4, [1.7e308, 1.0]), (5, [-1e300, 5.0]), (20, [1e300, -7.5]),
+            (6, [2.0 ** 20, 0.3]), (7, [-(2.0 ** 20), 0.3]), (8, [0.25, 1e-300]), (40, [-1e18, 3.0]), (9, [1e18, 3.0])]
+    use = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20, 40):
+        s = sorted((-sum(a * b for a, b in zip(use[q], w)), i) for i, w in use.items() if i != q)
+        want += [(q, n + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -x))) for n, (x, i) in enumerate(s)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], wide)
+    got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == sorted(want) and (0, 11, 5, -2 ** 63) in got and (0, 5, 2, 64 * 64 * 3_000_000) in got
