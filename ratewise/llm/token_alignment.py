@@ -25,7 +25,8 @@ ends at a document; one very long text is a slice of its own.
 Documents that occur again are counted again.
 
 Encoding in pieces: a text is cut before a space or line end that follows a
-character that is no white space. No match of A's splitting pattern and no piece of
+character that is no white space, and between a word of ASCII letters and a full stop
+or comma. No match of A's splitting pattern and no piece of
 B's vocabulary crosses such a place (both are checked when the files are loaded,
 else texts are not cut), so both sides have a token end there and a piece's
 groups and links do not depend on the rest of the text. Frequent pieces are
@@ -47,6 +48,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -65,11 +67,11 @@ RESULT_TYPES = [("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("
                 ("n_best", "bigint"), ("count_sum", "bigint")]
 RESULTS = [n for n, _ in RESULT_TYPES]
 CHUNK = 4_096                # pairs of a run that a merge holds at once
-_PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+")
+_PIECE = re.compile(r"\s*+[A-Za-z]++(?=[.,])|\s*+\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+")
 
 
 class Aligned(NamedTuple):
-    """What one piece (or text) adds: counts, links (b << 32 | a as int64 bytes, in order) and the groups' digest text."""
+    """What one piece (or text) adds: counts, links (the worker's numbers of the pairs, as int32 bytes, in order) and the groups' digest text."""
     n_a: int
     n_b: int
     n_groups: int
@@ -77,16 +79,19 @@ class Aligned(NamedTuple):
     groups: str
 
 
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Aligned:
-    """Walks both token lists once; their byte lengths add up to the same."""
-    i = j = 0
+def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], number: dict[int, int]) -> Aligned:
+    """Walks both token lists once; their byte lengths add up to the same. ``number``
+    gives each pair (b << 32 | a) the next free number when it is met first."""
+    i = j = n_groups = 0
     x, y = a[0], b[0]
     end_a, end_b = len(a_bytes[0]), len(b_bytes[0])
     last = len(a) - 1
-    links, groups, left, right = [y << 32 | x], [], str(x), str(y)
+    k = y << 32 | x
+    links, left, right, groups = [number.setdefault(k, len(number))], f"{x}", f"{y}", ""
     while True:
         if end_a == end_b:
-            groups.append(f"{left}|{right}")
+            groups = f"{groups}{left}|{right}"
+            n_groups += 1
             if i == last:
                 break
             i += 1
@@ -94,7 +99,7 @@ def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[byte
             x, y = a[i], b[j]
             end_a += len(a_bytes[i])
             end_b += len(b_bytes[j])
-            left, right = str(x), str(y)
+            left, right = f";{x}", f"{y}"
         elif end_a < end_b:
             i += 1
             x = a[i]
@@ -105,8 +110,9 @@ def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[byte
             y = b[j]
             end_b += len(b_bytes[j])
             right = f"{right},{y}"
-        links.append(y << 32 | x)
-    return Aligned(len(a), len(b), len(groups), array("q", links).tobytes(), ";".join(groups))
+        k = y << 32 | x
+        links.append(number.setdefault(k, len(number)))
+    return Aligned(len(a), len(b), n_groups, array("i", links).tobytes(), groups)
 
 
 class Pair:
@@ -130,35 +136,36 @@ class Pair:
         spec = json.loads(a_file)
         split = spec.get("pre_tokenizer") or {}
         self.cuts = (spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
-                     and not split.get("add_prefix_space") and self.b.encode("x  y\nz ") == self._joined(["x", " y", "\nz", ""])
-                     and not any(re.search("[^▁](▁|\n)|.\n", p) for i, p in enumerate(pieces)
+                     and not split.get("add_prefix_space") and self.b.encode("x  y\nz., ") == [i for ids in self._b([" x", "  y", "\nz", ".,", " "]) for i in ids]
+                     and not any(re.search("[^▁](▁|\n)|.\n|[A-Za-z][.,]", p) for i, p in enumerate(pieces)
                                  if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))))
+        self.number: dict[int, int] = {}                    # every pair met, at most as many as the vocabularies have
         self.known: dict[str, Aligned | None] = {}          # frequent pieces: what came last and what came before
         self.old: dict[str, Aligned | None] = {}
 
-    def _joined(self, parts: list[str]) -> list[int]:
-        return [i for ids in self._b([p if p.startswith("\n") else " " + p for p in parts]) for i in ids]
-
     def _b(self, pieces: list[str]) -> list[list[int]]:
-        """B's tokens of pieces that start with a space, which B adds itself, or with a line end."""
-        spaced = [p.startswith(" ") for p in pieces]
-        out = self.b.encode([p[1:] if s else p for p, s in zip(pieces, spaced)], num_threads=1)
-        for k, (p, s) in enumerate(zip(pieces, spaced)):
-            if s and len(p) == 1:
+        """B's tokens of pieces: B adds the space of those that start with one."""
+        out = self.b.encode([p[1:] if p[0] == " " else p if p[0] == "\n" else "\n" + p for p in pieces], num_threads=1)
+        for k, p in enumerate(pieces):
+            if p == " ":
                 out[k] = [self.space]
-            elif not s and out[k][:1] == [self.space]:
-                out[k] = out[k][1:]
+            elif p[0] != " ":                               # without what stands for the start: B's space (and the line end)
+                out[k] = out[k][1 if p[0] == "\n" else 2:]
         return out
 
     def align(self, pieces: list[str]) -> list[Aligned | None]:
         """None where the joined bytes of a side are not the piece's."""
-        out, a_of, b_of = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        out, a_of, b_of, number = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.number
         for piece, got, b in zip(pieces, self.a.encode_batch_fast(pieces, add_special_tokens=False), self._b(pieces)):
-            a, raw = got.ids, piece.encode()
-            x, y = list(map(a_of, a)), list(map(b_of, b))
-            out.append(aligned(a, b, x, y) if a and b and b"".join(x) == raw and b"".join(y) == raw else None)
+            a = got.ids
+            x, y = [*map(a_of, a)], [*map(b_of, b)]
+            out.append(aligned(a, b, x, y, number) if a and b and b"".join(x) == b"".join(y) == piece.encode() else None)
         return out
 
+    def pairs(self) -> np.ndarray:
+        """The pairs by their numbers."""
+        return np.fromiter(self.number, dtype=np.int64, count=len(self.number))
+
     def pieces(self, text: str) -> list[str]:
         text = " " + text
         return _PIECE.findall(text) if self.cuts else [text]
@@ -177,7 +184,7 @@ class Pair:
         out = []
         for text, c in zip(texts, cut):
             found = [here[p] for p in c]
-            if None in found:                               # the whole text decides
+            if any(x is None for x in found):               # the whole text decides
                 x = self.align([" " + text])[0]
                 found = [] if x is None else [x]
             out.append(found)
@@ -251,16 +258,18 @@ def _spill(shared, parts: int):
     def flush(pair, rows, number, task):
         found = pair.texts([t for t, _ in rows])
         links = [b"".join([x.links for x in f]) for f in found]
-        size = np.array([len(x) // 8 for x in links], dtype=np.int64)
-        keys, name, total = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_inverse=True, return_counts=True)
-        order = np.lexsort((keys, _radix(keys, parts)))
-        place = np.empty(len(keys), dtype=np.int64)
-        place[order] = np.arange(len(keys))
-        keys, total = keys[order], total[order]
+        size = np.array([len(x) // 4 for x in links], dtype=np.int64)
+        number = np.frombuffer(b"".join(links), dtype=np.int32)
+        every = pair.pairs()
+        total = np.bincount(number, minlength=len(every))
+        met = np.flatnonzero(total)
+        met = met[np.lexsort((every[met], _radix(every[met], parts)))]
+        place = np.zeros(len(every), dtype=np.int64)
+        place[met] = np.arange(len(met))
+        keys, total = every[met], total[met]
         groups = [";".join([x.groups for x in f]) for f in found]
         table = pa.RecordBatch.from_arrays(
-            [pa.array([sum(x.n_a for x in f) for f in found], pa.int64()), pa.array([sum(x.n_b for x in f) for f in found], pa.int64()),
-             pa.array([sum(x.n_groups for x in f) for f in found], pa.int64()), pa.array(size),
+            [*[pa.array([sum(map(itemgetter(k), f)) for f in found], pa.int64()) for k in range(3)], pa.array(size),
              pa.array([hashlib.sha256(g.encode()).hexdigest() if f else "" for g, f in zip(groups, found)], pa.string())],
             names=["n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
         kept = pa.RecordBatch.from_struct_array(pa.concat_arrays([k for _, k in rows])).drop_columns(["_"])
@@ -272,8 +281,8 @@ def _spill(shared, parts: int):
         radix = _radix(keys, parts)
         cuts = np.searchsorted(radix, np.arange(parts + 1))
         full = [r for r in range(parts) if cuts[r] < cuts[r + 1]]
-        doc, place = np.repeat(np.arange(len(rows)), size), place[name]
-        pairs, times = np.unique(doc * max(len(keys), 1) + place, return_counts=True)
+        doc = np.repeat(np.arange(len(rows)), size)
+        pairs, times = np.unique(doc * max(len(keys), 1) + place[number], return_counts=True)
         yield pa.record_batch(
             [pa.array([where] * (len(full) + 1), pa.string()), pa.array([-1, *full], pa.int32()),
              pa.array([_pack(pairs, times), *[_pack(keys[cuts[r]:cuts[r + 1]], total[cuts[r]:cuts[r + 1]]) for r in full]],
