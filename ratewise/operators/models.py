@@ -152,14 +152,19 @@ def fit_evaluate(kind: str, train: DataFrame, test: DataFrame, **override):
 
 
 def prepared_split(bookings: DataFrame, cols: Sequence[str] = FEATURE_COLS):
-    """Feature table written once (lineage cut), split, scaled with train stats."""
-    from ratewise.session import cut_lineage
-    table = cut_lineage(model_table(bookings))
-    train, test = chrono_split(table)
+    """Feature table written once (only keys, features, target and split flag), split,
+    scaled with train stats."""
+    train, test = chrono_split(narrow_table(bookings, cols))
     train_v, (test_v,) = vectorize(train, [test], cols)
     return train_v, test_v
 
 
+def narrow_table(bookings: DataFrame, cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
+    """The columns that fits read, written once (lineage cut)."""
+    from ratewise.session import cut_lineage
+    return cut_lineage(model_table(bookings).select(*SPLIT_KEYS, *safe_features(cols), TARGET, "is_test"))
+
+
 def whole_vectors(df: DataFrame, stats: dict, cols: Sequence[str] = FEATURE_COLS, scale: int = 10_000) -> DataFrame:
     """Adds ``vector``: the scaled features in whole 1/``scale`` of a standard
     deviation, so that squared distances are exact and ties are true ties."""
@@ -172,9 +177,7 @@ def knn_regression(bookings: DataFrame, k: int = 7, cols: Sequence[str] = FEATUR
     """Every test row's price as the mean of its ``k`` nearest train rows,
     weighted by 1 / distance over the scaled features (exact, see ``neighbours``)."""
     from ratewise.operators.neighbours import knn_join, weighted_value
-    from ratewise.session import cut_lineage
-    table = cut_lineage(model_table(bookings).select(*SPLIT_KEYS, *cols, TARGET, "is_test"))
-    train, test = chrono_split(table)
+    train, test = chrono_split(narrow_table(bookings, cols))
     stats = scaler_stats(train, cols)
     points = whole_vectors(train, stats, cols).select(*SPLIT_KEYS, TARGET, "vector")
     asked = whole_vectors(test, stats, cols).select(*SPLIT_KEYS, TARGET, "vector")

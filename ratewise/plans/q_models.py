@@ -198,14 +198,11 @@ def p02_model_price(spark, d):
     """Price every completed request with a model trained on the bookings
     (features the request lacks are 0, as in the reference)."""
     from pyspark.ml.feature import VectorAssembler
-    from ratewise.session import cut_lineage
-    b = cut_lineage(bookings(spark, d))
-    table = cut_lineage(M.model_table(b).select(*FEATURE_COLS, M.TARGET, "is_test"))
-    train, _ = M.chrono_split(table)
+    train, _ = M.chrono_split(M.narrow_table(bookings(spark, d)))
     stats = scaler_stats(train, FEATURE_COLS)
     asm = VectorAssembler(inputCols=[f"{c}_scaled" for c in FEATURE_COLS], outputCol="features")
     model = M.estimator("linear").fit(asm.transform(standardize(train, FEATURE_COLS, stats)))
-    req = P.complete_requests(requests_from(b))
+    req = P.complete_requests(requests_from(bookings(spark, d)))       # the columns of a request, not the table
     missing = {c: F.lit(0) for c in FEATURE_COLS if c not in req.columns}
     scored = model.transform(asm.transform(standardize(req.withColumns(missing), FEATURE_COLS, stats)))
     ctx = P.price_context(scored.withColumn("model_price", fin("prediction", 2)), "model_price")
@@ -216,9 +213,7 @@ def p02_model_price(spark, d):
 def _perm_model(spark, d):
     """Gradient boosting (150 rounds, depth 5, rate 0.1) on the chronological
     train split, plus the test rows and the train scaling statistics."""
-    from ratewise.session import cut_lineage
-    table = cut_lineage(M.model_table(bookings(spark, d)))
-    train, test = M.chrono_split(table)
+    train, test = M.chrono_split(M.narrow_table(bookings(spark, d)))
     stats = scaler_stats(train, FEATURE_COLS)
     tv, (te,) = M.vectorize(train, [test], FEATURE_COLS)
     model = M.estimator("gbt", n_iter=150, max_depth=5, step=0.1).fit(tv)

@@ -33,20 +33,43 @@ def w02_rolling_stats(spark, d):
     return S.rolling_stats(S.daily_series(bookings(spark, d)), digits=4)
 
 
-@query("w05_poly_trend")
+# The cubic in an orthogonal basis of the days (1, u1, u2, u3), then as powers of the scaled day.
+CUBIC = (
+    "cub0 AS (SELECT ds, datediff('day', min(ds) OVER (), ds) AS t_days, y FROM daily)",
+    "cub1 AS (SELECT *, t_days / CAST(max(t_days) OVER () AS DOUBLE) AS t, max(t_days) OVER () AS span, avg(y) OVER () AS c0 FROM cub0)",
+    "cub2 AS (SELECT *, avg(t) OVER () AS a10, t - avg(t) OVER () AS u1, avg(t * t) OVER () AS a20, avg(t * t * t) OVER () AS a30 FROM cub1)",
+    "cub3 AS (SELECT *, sum(t * t * u1) OVER () / sum(u1 * u1) OVER () AS a21, sum(t * t * t * u1) OVER () / sum(u1 * u1) OVER () AS a31 FROM cub2)",
+    "cub4 AS (SELECT *, t * t - a20 - a21 * u1 AS u2 FROM cub3)",
+    "cub5 AS (SELECT *, sum(t * t * t * u2) OVER () / sum(u2 * u2) OVER () AS a32 FROM cub4)",
+    "cub6 AS (SELECT *, t * t * t - a30 - a31 * u1 - a32 * u2 AS u3 FROM cub5)",
+    """cub7 AS (SELECT min(ds) AS d0, max(ds) AS d1, any_value(span) AS span, any_value(c0) AS c0, any_value(a10) AS a10, any_value(a20) AS a20,
+         any_value(a30) AS a30, any_value(a21) AS a21, any_value(a31) AS a31, any_value(a32) AS a32, sum(y * u1) / sum(u1 * u1) AS c1,
+         sum(y * u2) / sum(u2 * u2) AS c2, sum(y * u3) / sum(u3 * u3) AS c3 FROM cub6)""",
+    """cubic AS (SELECT d0, d1, CAST(span AS DOUBLE) AS span,
+         c0 - c1 * a10 + c2 * (a21 * a10 - a20) + c3 * (a31 * a10 - a30 - a32 * (a21 * a10 - a20)) AS k0,
+         c1 - c2 * a21 + c3 * (a32 * a21 - a31) AS k1, c2 - c3 * a32 AS k2, c3 AS k3 FROM cub7)""")
+
+
+@query("w05_poly_trend", with_bookings(f"""
+SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS power, unnest([{R('k0', 4)}, {R('k1', 4)}, {R('k2', 4)}, {R('k3', 4)}]) AS coef, span AS t_scale
+FROM cubic""", DAILY, *CUBIC))
 def w05_poly_trend(spark, d):
     """Cubic trend coefficients of the daily series (normal equations)."""
     s = S.rolling_stats(S.daily_series(bookings(spark, d))).select("ds", "t_days", "y")
     model, t_max = S.poly_fit(s, 3)
     coef = [float(model.intercept)] + [float(x) for x in model.coefficients]
-    return spark.createDataFrame([(i, c, t_max) for i, c in enumerate(coef)], "power int, coef double, t_scale double")
+    out = spark.createDataFrame([(i, c, t_max) for i, c in enumerate(coef)], "power int, coef double, t_scale double")
+    return out.withColumn("coef", fin("coef", 4))
 
 
-@query("w06_forecast_30d")
+@query("w06_forecast_30d", with_bookings(f"""
+SELECT ds, {R('k0 + t * (k1 + t * (k2 + t * k3))', 4)} AS forecast
+FROM (SELECT CAST(d1 + CAST(i AS INT) AS DATE) AS ds, datediff('day', d0, d1 + CAST(i AS INT)) / span AS t, k0, k1, k2, k3
+      FROM cubic, range(1, 31) r(i)) x""", DAILY, *CUBIC))
 def w06_forecast_30d(spark, d):
     s = S.rolling_stats(S.daily_series(bookings(spark, d))).select("ds", "t_days", "y")
     model, t_max = S.poly_fit(s, 3)
-    return S.forecast(s, model, t_max, 30)
+    return S.forecast(s, model, t_max, 30).withColumn("forecast", fin("forecast", 4))
 
 
 @query("w07_trend_seasonal", with_bookings(f"""
