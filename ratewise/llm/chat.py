@@ -4,13 +4,17 @@ The template is a black box: a function from a list of (role, text) to a
 string. Each conversation is rendered for its successive prefixes of turns.
 Where an output only appends to the one before, the appended part is the turn's
 span; the text's place in it is found by rendering the turn once more with a
-probe as its text. Where an output does not begin with the one before, the
-template rewrites history: ``rewritten_at`` holds the first turn that does
-so, and the conversation has no spans (no text of it is under the loss mask).
+probe as its text: what stands before and after the probe must stand before and after
+the text, else the turn has no text span (null: a template that shows a text twice, or
+changed). Where an output does not begin with the one before, the template rewrites
+history: ``rewritten_at`` holds the first turn that does so, and the conversation has
+no spans (no text of it is under the loss mask).
 
 ``instruction_template`` marks turns with control strings and puts a backslash
 into any that occur in texts and roles, reversibly: ``[INST]`` becomes
-``[\\INST]``, ``[\\INST]`` becomes ``[\\\\INST]``.
+``[\\INST]``, ``[\\INST]`` becomes ``[\\\\INST]``; in a role's name, backslashes, ``]`` and line
+ends are escaped first. ``parse_instructions`` reads every turn, its role and its text
+back out of the string alone.
 
 Turns are in order of ``turn`` (null first), ties by role, then text. Null roles
 and texts count as empty. Rows with a null conversation id form one
@@ -45,6 +49,14 @@ def unescape(text: str) -> str:
     return _REMOVE.sub(r"\1\2", text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role.replace("\\", "\\\\").replace("]", "\\]").replace("\n", "\\n"))
+
+
+def unescape_role(name: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(name))
+
+
 def instruction_template(turns: list[tuple[str, str]]) -> str:
     """[INST] user [/INST] assistant </s>; a system block; other roles by name."""
     out = []
@@ -57,11 +69,28 @@ def instruction_template(turns: list[tuple[str, str]]) -> str:
         elif role == "system":
             out.append(f"<<SYS>>\n{body}\n<</SYS>>\n\n")
         else:
-            out.append(f"[ROLE {escape(role)}]\n{body}\n[/ROLE]\n")
+            out.append(f"[ROLE {escape_role(role)}]\n{body}\n[/ROLE]\n")
     return "".join(out)
 
 
-def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+_TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]| (?P<assistant>.*?) </s>|<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n\n"
+                   r"|\[ROLE (?P<name>(?:[^\\\]]|\\.)*)\]\n(?P<other>.*?)\n\[/ROLE\]\n", re.S)
+
+
+def parse_instructions(formatted: str) -> list[tuple[str, str]]:
+    """The (role, text) turns that ``instruction_template`` wrote."""
+    out, at = [], 0
+    while at < len(formatted):
+        m = _TURN.match(formatted, at)
+        if m is None:
+            raise ValueError(f"no turn at {at}")
+        kind = "other" if m["name"] is not None else m.lastgroup
+        out.append((unescape_role(m["name"]) if kind == "other" else kind, unescape(m[kind])))
+        at = m.end()
+    return out
+
+
+def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int, int | None, int | None]], int | None]:
     """The rendered conversation; per turn the start and end of its span and of
     its text; and the first turn whose rendering changed what stood before it."""
     before, found = template([]), []
@@ -75,9 +104,9 @@ def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[t
             probe += PROBE
         probed = template([*turns[:k], (role, probe)])
         at = probed.find(probe)
-        if not probed.startswith(before) or at < len(before):
-            return template(turns), [], k
         end = len(now) - (len(probed) - at - len(probe))
+        if at < len(before) or end < at or probed[:at] != now[:at] or probed[at + len(probe):] != now[end:]:
+            at = end = None
         found.append((len(before), len(now), at, end))
         before = now
     return before, found, None
@@ -112,27 +141,22 @@ def format_conversations(df: DataFrame, template: Template = instruction_templat
     return rows.mapInArrow(run, SCHEMA)
 
 
-def read_back(formatted: DataFrame, unescape_: Callable[[str], str] = unescape, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Digests of what the output says: all turns, and the text under the loss
-    mask (the text spans of the roles that are trained on)."""
+def read_back(formatted: DataFrame, parse: Callable[[str], list[tuple[str, str]]] = parse_instructions,
+              trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """What the string itself says: the number of its turns, the digest of all turns,
+    and the text under the loss mask (that of the roles that are trained on)."""
     ship_package(formatted.sparkSession)
 
-    @F.arrow_udf("struct<turns_sha256: string, loss_chars: bigint, loss_sha256: string>")
-    def run(text: pa.Array, spans_: pa.Array) -> pa.Array:
-        a, n, b = [], [], []
-        for whole, turns in zip(text.to_pylist(), spans_.to_pylist()):
-            every, loss, count = hashlib.sha256(), hashlib.sha256(), 0
-            for t in turns:
-                said = unescape_(whole[t["text_start"]:t["text_end"]])
-                every.update(f"{t['role']}\n{said}\n".encode())
-                if t["role"] in trained:
-                    loss.update(said.encode())
-                    count += len(said)
-            a.append(every.hexdigest())
-            n.append(count)
-            b.append(loss.hexdigest())
-        return pa.StructArray.from_arrays([pa.array(a, pa.string()), pa.array(n, pa.int64()), pa.array(b, pa.string())],
-                                          ["turns_sha256", "loss_chars", "loss_sha256"])
-    return (formatted.withColumn("_r", run("formatted", "spans"))
+    @F.arrow_udf("struct<n_turns: bigint, turns_sha256: string, loss_chars: bigint, loss_sha256: string>")
+    def run(text: pa.Array) -> pa.Array:
+        rows = []
+        for whole in text:
+            turns = parse(whole.as_py())
+            loss = "".join(said for role, said in turns if role in trained)
+            rows.append((len(turns), hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode()).hexdigest(),
+                         len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+        kinds = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+    return (formatted.drop("n_turns").withColumn("_r", run("formatted"))
             .withColumn("formatted_chars", F.length("formatted").cast("long"))
             .select("*", "_r.*").drop("_r"))

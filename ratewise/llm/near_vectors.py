@@ -167,7 +167,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                      F.coalesce("root", "id")).toDF("label", "vector", "n_links", "component_id"))
     return (one.join(known, ["label", "vector"], "left")
             .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component_id", "id").alias("component_id"))
+                    F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
             .withColumn("kept", F.col(key) == F.col("component_id")))
 
 

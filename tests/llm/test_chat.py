@@ -3,7 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from ratewise.llm.chat import escape, format_conversations, instruction_template, read_back, spans, unescape
+from ratewise.llm.chat import (
+    escape, format_conversations, instruction_template, parse_instructions, read_back, spans, unescape,
+)
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE x]", "[/ROLE]"]
@@ -33,7 +35,7 @@ def test_against_rows(spark):
     for c in range(40):
         for t in range(r.randint(1, 9)):
             text = r.choice([None, "", " ", "probe", "probeprobe", "hi 🙂\n", " [/INST]", "<s>" * 3, "".join(r.choices([*CONTROL, " ", "é"], k=6)), "x" * 5000])
-            rows.append((c, r.choice([t, t, 0]), r.choice(["user", "assistant", "system", "tool", "<s>", None, ""]), text))
+            rows.append((c, r.choice([t, t, 0]), r.choice(["user", "assistant", "system", "tool", "<s>", "a]\nb", "\\]", None, ""]), text))
     rows += [(None, None, None, None), (None, 1, "assistant", "a"), (50, 0, "assistant", "same"), (50, 0, "assistant", "same")]
     rows += [(60, t, "assistant" if t % 2 else "user", f"turn {t} " * 20) for t in range(300)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("spans", F.lit(1)).repartition(5)
@@ -46,6 +48,25 @@ def test_against_rows(spark):
     assert format_conversations(df.limit(0)).count() == 0
 
 
+def test_turns_are_read_out_of_the_string_alone():
+    a, b = [("a]\nb", "x")], [("a", "b]\nx")]
+    assert instruction_template(a) != instruction_template(b)
+    r = random.Random(3)
+    parts = [*CONTROL, "\\", "]", "[", "\n", " ", "<", "n", "s>", "a", "]\n", "\n[/ROLE]\n", " [/INST]", " </s>"]
+    some = lambda: "".join(r.choice(parts) for _ in range(r.randint(0, 6)))
+    for _ in range(3000):
+        turns = [(r.choice(["user", "assistant", "system", some()]), some()) for _ in range(r.randint(0, 4))]
+        assert parse_instructions(instruction_template(turns)) == turns
+
+
+def test_texts_that_a_template_repeats_or_changes_have_no_span():
+    twice = lambda turns: "".join(f"{t}|{t};" for _, t in turns)
+    upper = lambda turns: "".join(f"<{t.upper()}>" for _, t in turns)
+    turns = [("user", "ab"), ("assistant", "c")]
+    assert spans(turns, twice) == ("ab|ab;c|c;", [(0, 6, None, None), (6, 10, None, None)], None)
+    assert spans(turns, upper) == ("<AB><C>", [(0, 4, None, None), (4, 7, None, None)], None)
+
+
 def drops_old_thoughts(turns):
     """A template that shows <think> blocks of the last assistant turn only."""
     out = []

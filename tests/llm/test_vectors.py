@@ -64,6 +64,12 @@ def test_near_vectors(spark, monkeypatch, tile, rows, check):
     assert pairs == {(a, b) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.98, 1)))}
 
 
+def test_a_null_id_has_no_component(spark):
+    rows = [(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == got[2] == (1, 1) and got[None][1] is None
+
+
 def test_quantisation_bound_holds():
     r = np.random.default_rng(1)
     u = nv.unit(r.normal(size=(400, 64)) * r.choice([1e-3, 1, 50], size=(400, 64)))
