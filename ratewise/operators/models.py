@@ -220,14 +220,15 @@ def leaderboard(kinds: Sequence[str], train: DataFrame, test: DataFrame, cv: Seq
 def cross_validate(kind: str, df: DataFrame, k: int = 5, seed: int = 42, **override) -> DataFrame:
     """K-fold R2 mean and population std (folds from the key hash)."""
     from ratewise.session import cut_lineage
-    folded = cut_lineage(fold_column(df, k, seed))
-    scores = []
-    for f in range(k):
+    folded = cut_lineage(fold_column(df, k, seed).select("features", TARGET, "fold"))
+
+    def score(f):
         tr = folded.filter(F.col("fold") != f)
-        te = folded.filter(F.col("fold") == f)
         n, s = label_stats(tr)
         model = estimator(kind, n_rows=n, label_std=s, **override).fit(tr)
-        scores.append(metrics(model.transform(te)).first()["r2"])
+        return metrics(model.transform(folded.filter(F.col("fold") == f))).first()["r2"]
+    got = side_by_side({f: lambda f=f: score(f) for f in range(k)}, k)
+    scores = [got[f] for f in range(k)]
     mean = sum(scores) / k
     std = (sum((x - mean) ** 2 for x in scores) / k) ** 0.5
     spark = df.sparkSession
@@ -255,29 +256,56 @@ def best(results: DataFrame, metric: str = "r2", ascending: bool = False) -> Dat
     return results.orderBy(order, F.col("model")).limit(1)
 
 
+def side_by_side(jobs: dict, workers: int = 4) -> dict:
+    """Runs the calls of ``jobs`` (name -> function without arguments), ``workers`` at a
+    time, and returns their results by name. Fits of small nodes leave most of a cluster
+    idle; Spark fills it with the stages of the others. The first error is raised."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(workers) as pool:
+        running = {name: pool.submit(call) for name, call in jobs.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
+def draws_from(space: dict, draws: int, seed: int = 42) -> list[dict]:
+    """``draws`` different configurations of a search space, by a seeded sample."""
+    combos = list(itertools.product(*space.values()))
+    return [dict(zip(space, c)) for c in random.Random(seed).sample(combos, min(draws, len(combos)))]
+
+
+def _search_schema(space: dict) -> str:
+    kind = {float: "double", str: "string", int: "int"}
+    return ", ".join(["draw int", *[f"{k} {kind[type(v[0])]}" for k, v in space.items()], "mean_test_score double"])
+
+
 def random_search(df: DataFrame, draws: int = 20, folds: int = 3, seed: int = 42,
-                  space: dict = SEARCH_SPACE) -> DataFrame:
+                  space: dict = SEARCH_SPACE, workers: int = 4) -> DataFrame:
     """``draws`` configurations sampled from ``space``, each scored by
-    ``folds``-fold CV R2 of a gradient-boosted model."""
-    rng = random.Random(seed)
-    combos = list(itertools.product(*space.values()))
-    picks = [dict(zip(space.keys(), c)) for c in rng.sample(combos, min(draws, len(combos)))]
+    ``folds``-fold CV R2 of a gradient-boosted model. The fits (draws x folds) run side by
+    side over one written table of features, target and fold."""
     from ratewise.session import cut_lineage
-    folded = cut_lineage(fold_column(df, folds, seed))
-    rows = []
-    for i, p in enumerate(picks):
-        scores = []
-        for f in range(folds):
-            tr = folded.filter(F.col("fold") != f)
-            te = folded.filter(F.col("fold") == f)
-            m = GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **p).fit(tr)
-            scores.append(metrics(m.transform(te)).first()["r2"])
-        rows.append((i, *[p[k] for k in space], float(sum(scores) / folds)))
-    def sql_type(v):
-        return "double" if isinstance(v, float) else "string" if isinstance(v, str) else "int"
-    schema = ", ".join(["draw int"] + [f"{k} {sql_type(v[0])}" for k, v in space.items()]
-                       + ["mean_test_score double"])
-    return df.sparkSession.createDataFrame(rows, schema)
+    picks = draws_from(space, draws, seed)
+    folded = cut_lineage(fold_column(df, folds, seed).select("features", TARGET, "fold"))
+
+    def score(p, f):
+        m = GBTRegressor(featuresCol="features", labelCol=TARGET, seed=seed, **p).fit(folded.filter(F.col("fold") != f))
+        return metrics(m.transform(folded.filter(F.col("fold") == f))).first()["r2"]
+    scores = side_by_side({(i, f): lambda p=p, f=f: score(p, f) for i, p in enumerate(picks) for f in range(folds)}, workers)
+    rows = [(i, *p.values(), float(sum(scores[i, f] for f in range(folds)) / folds)) for i, p in enumerate(picks)]
+    return df.sparkSession.createDataFrame(rows, _search_schema(space))
+
+
+def formula_search(df: DataFrame, price, space: dict, draws: int = 20, folds: int = 3, seed: int = 42) -> DataFrame:
+    """M18 for price formulas: ``price`` turns a configuration into a column, and
+    every draw's R2 in every fold comes from one pass (a group a fold, a sum a draw)."""
+    picks = draws_from(space, draws, seed)
+    y = F.col(TARGET)
+    sums = (fold_column(df, folds, seed).groupBy("fold")
+            .agg((F.var_pop(y) * F.count(y)).alias("sst"),
+                 *[F.sum((y - price(p)) * (y - price(p))).alias(f"sse_{i}") for i, p in enumerate(picks)]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("draw"), *[F.lit(v).alias(k) for k, v in p.items()],
+                                        (1 - F.col(f"sse_{i}") / F.col("sst")).alias("r2")) for i, p in enumerate(picks)]))
+    return (sums.select(each.alias("d")).select("d.*").groupBy("draw", *space)
+            .agg(fin(F.avg("r2")).alias("mean_test_score")))
 
 
 def tuning_effects(results: DataFrame, param: str) -> DataFrame:
@@ -291,50 +319,64 @@ def top_draws(results: DataFrame, n: int = 15) -> DataFrame:
     return results.orderBy(F.col("mean_test_score").desc(), "draw").limit(n)
 
 
-def fit_stack(train: DataFrame, test: DataFrame, base: Sequence[str] = ("forest", "gbt", "tree"),
-              folds: int = 5, seed: int = 42, **override) -> DataFrame:
-    """Out-of-fold predictions of the base models feed a ridge meta-model."""
+def out_of_fold(train: DataFrame, base: Sequence[str], folds: int = 5, seed: int = 42, workers: int = 4, **override):
+    """(predictions, models): ``p_<model>`` of every train row by the fit that left the row's
+    fold out, with the row's keys, target and fold, written once; and every
+    base model fitted on all rows. All fits run side by side."""
     from ratewise.session import cut_lineage
-    folded = cut_lineage(fold_column(train, folds, seed))
-    oof_parts = []
-    for f in range(folds):
-        tr = folded.filter(F.col("fold") != f)
-        te = folded.filter(F.col("fold") == f)
-        cols = []
-        for b in base:
-            mdl = estimator(b, **override.get(b, {})).fit(tr)
-            te = mdl.transform(te).withColumnRenamed("prediction", f"p_{b}")
-            cols.append(f"p_{b}")
-        oof_parts.append(te.select(*SPLIT_KEYS, TARGET, *cols))
-    oof = oof_parts[0]
-    for p in oof_parts[1:]:
+    folded = cut_lineage(fold_column(train, folds, seed).select(*SPLIT_KEYS, TARGET, "features", "fold"))
+
+    def fit(b, f):
+        rows = folded if f is None else folded.filter(F.col("fold") != f)
+        n, s = label_stats(rows)
+        return estimator(b, n_rows=n, label_std=s, **override.get(b, {})).fit(rows)
+    models = side_by_side({(b, f): lambda b=b, f=f: fit(b, f) for b in base for f in [None, *range(folds)]}, workers)
+    parts = [predictions(folded.filter(F.col("fold") == f), {b: models[b, f] for b in base}) for f in range(folds)]
+    oof = parts[0]
+    for p in parts[1:]:
         oof = oof.unionByName(p)
+    return (cut_lineage(oof.select(*SPLIT_KEYS, TARGET, "fold", *[f"p_{b}" for b in base])),
+            {b: models[b, None] for b in base})
+
+
+def predictions(df: DataFrame, models: dict) -> DataFrame:
+    """``df`` with ``p_<name>`` of each model, in one pass."""
+    for name, model in models.items():
+        df = model.transform(df).withColumnRenamed("prediction", f"p_{name}")
+    return df
+
+
+def fit_stack(train: DataFrame, test: DataFrame, base: Sequence[str] = ("forest", "gbt", "tree"),
+              folds: int = 5, seed: int = 42, workers: int = 4, **override) -> DataFrame:
+    """Out-of-fold predictions of the base models feed a ridge meta-model. The
+    test metrics of the stack and of each base model."""
+    oof, models = out_of_fold(train, base, folds, seed, workers, **override)
     asm = VectorAssembler(inputCols=[f"p_{b}" for b in base], outputCol="meta_features")
     meta_rows = asm.transform(oof)
     n, sd = label_stats(meta_rows)
     meta = estimator("ridge", features="meta_features", n_rows=n, label_std=sd).fit(meta_rows)
-    full = test
+    scored = meta.transform(asm.transform(predictions(test.select(TARGET, "features"), models)))
+    out = metrics(scored, floor=1.0).withColumn("model", F.lit("stacking"))
     for b in base:
-        mdl = estimator(b, **override.get(b, {})).fit(train)
-        full = mdl.transform(full).withColumnRenamed("prediction", f"p_{b}")
-    scored = meta.transform(asm.transform(full))
-    return metrics(scored, floor=1.0).withColumn("model", F.lit("stacking"))
+        out = out.unionByName(metrics(scored, p=f"p_{b}", floor=1.0).withColumn("model", F.lit(b)))
+    return out
 
 
 def learning_curve(df: DataFrame, kind: str = "gbt", sizes: int = 10, folds: int = 5,
-                   seed: int = 42, **override) -> DataFrame:
-    """train/validation R2 for growing nested train subsets (hash prefixes)."""
+                   seed: int = 42, workers: int = 4, **override) -> DataFrame:
+    """train/validation R2 for growing nested train subsets (hash prefixes of one
+    written table), the fits side by side."""
     from ratewise.session import cut_lineage
-    folded = cut_lineage(fold_column(df, folds, seed).withColumn("_u", row_hash(SPLIT_KEYS, seed + 1) % 10000))
-    rows = []
-    for i in range(1, sizes + 1):
-        frac = 0.1 + 0.9 * (i - 1) / max(sizes - 1, 1)
-        for f in range(folds):
-            tr = folded.filter((F.col("fold") != f) & (F.col("_u") < int(frac * 10000)))
-            te = folded.filter(F.col("fold") == f)
-            mdl = estimator(kind, **override).fit(tr)
-            rows.append((i, frac, f, metrics(mdl.transform(tr)).first()["r2"],
-                         metrics(mdl.transform(te)).first()["r2"]))
+    folded = cut_lineage(fold_column(df, folds, seed).withColumn("_u", row_hash(SPLIT_KEYS, seed + 1) % 10000)
+                         .select("features", TARGET, "fold", "_u"))
+    fracs = {i: 0.1 + 0.9 * (i - 1) / max(sizes - 1, 1) for i in range(1, sizes + 1)}
+
+    def score(i, f):
+        tr = folded.filter((F.col("fold") != f) & (F.col("_u") < int(fracs[i] * 10000)))
+        mdl = estimator(kind, **override).fit(tr)
+        return [metrics(mdl.transform(x)).first()["r2"] for x in (tr, folded.filter(F.col("fold") == f))]
+    got = side_by_side({(i, f): lambda i=i, f=f: score(i, f) for i in fracs for f in range(folds)}, workers)
+    rows = [(i, fracs[i], f, *r2) for (i, f), r2 in got.items()]
     spark = df.sparkSession
     raw = spark.createDataFrame(rows, "size int, frac double, fold int, train_r2 double, val_r2 double")
     return (raw.groupBy("size", "frac")

@@ -186,6 +186,72 @@ def m13_leaderboard(spark, d):
     return M.leaderboard([*fast, "forest", "gbt", "gbt_sub"], train, test, cv=fast)
 
 
+# --- M18-M20 ---------------------------------------------------------------
+# A pricing formula's weights; every draw is scored in every fold by one pass.
+FORMULA_SPACE = {"w_comp": [0.0, 0.25, 0.5, 0.75, 1.0], "w_occ": [0.0, 0.1, 0.2, 0.3], "w_event": [0.0, 0.25, 0.5, 1.0],
+                 "w_weekend": [0.0, 0.05, 0.1]}
+_DRAWS = M.draws_from(FORMULA_SPACE, 20)
+
+
+def formula_price(p: dict):
+    """Base and competitor price blended, with premiums for occupancy, events and weekends."""
+    blend = (1 - p["w_comp"]) * F.col("base_price") + p["w_comp"] * F.col("competitor_avg_price")
+    return (blend * (1 + p["w_occ"] * (F.col("occupancy_rate") - 0.7)) * (1 + p["w_event"] * F.col("event_magnitude") / 10.0)
+            * (1 + p["w_weekend"] * F.col("is_weekend")))
+
+
+_SEARCH_CTES = (
+    "dr(draw, w_comp, w_occ, w_event, w_weekend) AS (VALUES " + ", ".join(
+        f"({i}, {', '.join(f'{v!r}e0' for v in p.values())})" for i, p in enumerate(_DRAWS)) + ")",
+    f"""fo AS (SELECT actual_price AS y, base_price, competitor_avg_price, occupancy_rate, event_magnitude, is_weekend,
+         CAST(({_sql_hash(_INT_KEYS, 42)}) % 3 AS INT) AS fold FROM bookings)""",
+    """fr AS (SELECT draw, fold, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) AS r2 FROM (
+         SELECT draw, fold, y, ((1 - w_comp) * base_price + w_comp * competitor_avg_price) * (1 + w_occ * (occupancy_rate - 7e-1))
+                * (1 + w_event * event_magnitude / 1e1) * (1 + w_weekend * is_weekend) AS p FROM fo, dr) t GROUP BY draw, fold)""",
+    f"""search AS (SELECT dr.*, s.mean_test_score FROM dr JOIN (SELECT draw, {R('avg(r2)')} AS mean_test_score FROM fr GROUP BY draw) s
+         USING (draw))""")
+
+
+def _search(spark, d):
+    return M.formula_search(bookings(spark, d), formula_price, FORMULA_SPACE)
+
+
+@query("m18_formula_search", with_bookings("SELECT * FROM search", *_SEARCH_CTES))
+def m18_formula_search(spark, d):
+    """20 draws x 3 folds of a pricing formula."""
+    return _search(spark, d)
+
+
+@query("m19_tuning_effects", with_bookings(" UNION ALL ".join(
+    f"SELECT '{k}' AS param, {k} AS setting, {R('avg(mean_test_score)')} AS mean_score, count(*) AS n FROM search GROUP BY {k}"
+    for k in FORMULA_SPACE), *_SEARCH_CTES))
+def m19_tuning_effects(spark, d):
+    """Mean score by setting, for each parameter of the search."""
+    from functools import reduce
+    found = _search(spark, d)
+    found = spark.createDataFrame(found.collect(), found.schema)        # a row a draw
+    parts = [M.tuning_effects(found, k).select(F.lit(k).alias("param"), F.col(k).alias("setting"), "mean_score", "n")
+             for k in FORMULA_SPACE]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("m19_top_draws", with_bookings("SELECT * FROM search ORDER BY mean_test_score DESC, draw LIMIT 15", *_SEARCH_CTES))
+def m19_top_draws(spark, d):
+    return M.top_draws(_search(spark, d), 15)
+
+
+# --- fixed values: reference hyper-parameters of the stack -------------------
+STACK_PARAMS = {"forest": {"num_trees": 100, "min_leaf": 1}, "gbt": {"n_iter": 100, "step": 0.08, "max_depth": 5}, "tree": {"max_depth": 10}}
+# ---------------------------------------------------------------------------
+
+
+@query("m20_stacking")
+def m20_stacking(spark, d):
+    """Forest, boosting and tree stacked by a ridge model over 5 folds; their test metrics."""
+    train, test = M.prepared_split(bookings(spark, d))
+    return M.fit_stack(train, test, **STACK_PARAMS)
+
+
 @query("m17_tree_importances")
 def m17_tree_importances(spark, d):
     train, test = M.prepared_split(bookings(spark, d))

@@ -92,11 +92,49 @@ def test_random_search_and_effects(split):
     assert sum(r.n for r in eff) == 2
 
 
+def test_out_of_fold_rows_are_scored_by_fits_that_left_them_out(split):
+    train, _ = split
+    oof, models = M.out_of_fold(train, ["tree", "ridge"], folds=3, tree={"max_depth": 8})
+    assert set(models) == {"tree", "ridge"} and oof.count() == train.count()
+    keys = M.SPLIT_KEYS
+    folded = M.fold_column(train, 3, 42)
+    for f in range(3):
+        tr, te = folded.where(folded.fold != f), folded.where(folded.fold == f)
+        n, s = M.label_stats(tr)
+        for b, o in (("tree", {"max_depth": 8}), ("ridge", {})):
+            fit = M.estimator(b, n_rows=n, label_std=s, **o).fit(tr)
+            want = fit.transform(te).select(*keys, "prediction")
+            both = oof.where(oof.fold == f).join(want, keys)
+            assert both.count() == te.count()
+            assert both.where(f"abs(p_{b} - prediction) > 1e-6 * (1 + abs(prediction))").count() <= 0.01 * te.count()
+
+
+def test_side_by_side_returns_by_name_and_raises():
+    assert M.side_by_side({k: lambda k=k: k * 2 for k in range(9)}, 3) == {k: 2 * k for k in range(9)}
+    with pytest.raises(ZeroDivisionError):
+        M.side_by_side({"a": lambda: 1, "b": lambda: 1 // 0})
+
+
+def test_formula_search_against_numpy(bookings_small):
+    from pyspark.sql import functions as F
+    space = {"a": [0.5, 1.0, 1.5], "b": [0.0, 0.1]}
+    price = lambda p: F.col("base_price") * p["a"] + F.col("occupancy_rate") * p["b"]
+    got = {(r.a, r.b): r.mean_test_score for r in M.formula_search(bookings_small, price, space, draws=4, folds=3).collect()}
+    rows = M.fold_column(bookings_small, 3, 42).select("fold", "actual_price", "base_price", "occupancy_rate").toPandas()
+    assert list(got) and len(got) == 4 and set(got) == {tuple(p.values()) for p in M.draws_from(space, 4)}
+    for (a, b), r2 in got.items():
+        want = []
+        for _, g in rows.groupby("fold"):
+            p = g.base_price * a + g.occupancy_rate * b
+            want.append(1 - ((g.actual_price - p) ** 2).sum() / ((g.actual_price - g.actual_price.mean()) ** 2).sum())
+        assert r2 == pytest.approx(np.mean(want), abs=1e-6)
+
+
 def test_stack_and_learning_curve(split):
     train, test = split
     small = {"forest": {"num_trees": 3, "max_depth": 3}, "gbt": {"n_iter": 3}, "tree": {"max_depth": 3}}
-    st = M.fit_stack(train, test, folds=2, **small).first()
-    assert st.model == "stacking" and st.r2 > 0
+    st = {r.model: r for r in M.fit_stack(train, test, folds=2, **small).collect()}
+    assert set(st) == {"stacking", "forest", "gbt", "tree"} and st["stacking"].r2 > 0
     lc = M.learning_curve(train, "tree", sizes=2, folds=2, max_depth=3).collect()
     assert [r.size for r in lc] == [1, 2]
 
