@@ -148,8 +148,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_training_order")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
     from ratewise.llm.training_order import training_order
-    out = training_order(read(spark, sf_dir, "documents").select("doc_id", "text"), key=20_240_817)
+    out = training_order(read(spark, sf_dir, "documents").select("doc_id", "text"), 20_240_817,
+                         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("slot", "sequence", "first_doc", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 

@@ -13,9 +13,14 @@ shard s div per_shard, and a reader resumes at any slot with one seek. Spark's
 own text sink writes the shards, so any Hadoop file system will do, a lost
 executor's files are written again, and a failed job leaves none.
 
+``training_order`` encodes texts once, by byte-level BPE, into a table of 16-bit ids in
+the shared folder; counting and packing read that table, so nothing is encoded twice.
+Two ids that the vocabulary leaves free mark a document's end and the padding.
+
 Sequences follow the rows of the input as Spark scans its files: the input must
 be read from files, and the same files and split settings give the same numbers.
-The counting pass and the writing pass are checked against each other.
+The counting pass and the writing pass are checked against each other. Every shard
+is written by one task, which holds nothing but its records to sort.
 
 Null and empty texts have no ids and leave no trace. A document longer than a
 sequence runs on in the next. A null document id is written as ``NO_ID``. An
@@ -32,6 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewise.llm import bpe
 from ratewise.llm.common import ship_package
 from ratewise.llm.shingles import mix
 from ratewise.session import scratch_path
@@ -42,14 +48,36 @@ ROUNDS = 6
 NO_ID = -2 ** 63
 HEADER = np.dtype([("sequence", "<i8"), ("first_doc", "<i8"), ("tokens", "<i4")])
 
-# Ids are the bytes of the UTF-8 text; these two bytes never occur in UTF-8.
+# Without a tokenizer, ids are the bytes of the UTF-8 text; these two bytes never occur in UTF-8.
 END, PAD, KIND = 0xFF, 0xFE, np.uint8
+# With one: 16-bit ids, of which a vocabulary of at most 65,534 leaves the last two free.
+TOKEN_END, TOKEN_PAD, TOKEN_KIND = 0xFFFE, 0xFFFF, np.uint16
 
 
 def utf8_ids(text: bytes) -> np.ndarray:
     return np.frombuffer(text, dtype=np.uint8)
 
 
+def token_ids(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, dtype=TOKEN_KIND)
+
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids): every text's token ids as 16-bit numbers, a table in the shared folder."""
+    shared = bpe._share(docs, rank_path, pattern)
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        codec = bpe._codec(shared)
+        if len(codec.names) > TOKEN_END:
+            raise ValueError("the vocabulary does not fit 16 bits and two marks")
+        return pa.array([np.array(codec.encode(x), dtype=TOKEN_KIND).tobytes() for x in bpe._texts(column)], pa.binary())
+    path = scratch_path(docs.sparkSession, "tokens")
+    (docs.select(F.col(doc_id).cast("long").alias("doc_id"), run(F.col(text).cast("binary")).alias("ids"))
+     .write.option("compression", "zstd").parquet(path))
+    return docs.sparkSession.read.parquet(path)
+
+
 class Permutation:
     """A keyed permutation of 0..n-1, on arrays."""
 
@@ -164,7 +192,7 @@ def write_shards(docs: DataFrame, path: str, key: int, length: int = LENGTH, per
         return pa.array([loose.decompress(x.as_py())[:-1] for x in records], pa.binary())
     (docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
      .mapInArrow(_pack(shared, order, length, per_shard, ids_of, end, pad, kind), "shard int, slot long, record binary")
-     .repartition(shards, "shard").withColumn("value", open_("record")).drop("record")
+     .repartitionById(shards, "shard").withColumn("value", open_("record")).drop("record")
      .sortWithinPartitions("shard", "slot")
      .select("shard", F.col("value").cast("string").alias("value"))
      .write.partitionBy("shard").option("lineSep", "\n").text(path))
@@ -194,9 +222,12 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
     return files.load(path).select("shard", "content").mapInArrow(run, schema)
 
 
-def training_order(docs: DataFrame, key: int) -> DataFrame:
-    """Writes ``docs`` in training order under the shared folder and reads the records back."""
-    path = scratch_path(docs.sparkSession, "shards")
-    if not write_shards(docs, path, key):
-        return docs.sparkSession.createDataFrame([], "slot long, sequence long, first_doc long, n_tokens int, ids binary")
-    return read_shards(docs.sparkSession, path)
+def training_order(docs: DataFrame, key: int, rank_path: str, pattern: str) -> DataFrame:
+    """Writes the texts' tokens in training order under the shared folder and reads the
+    records back (``ids``: 16-bit little-endian numbers)."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "shards")
+    if not write_shards(encode(docs, rank_path, pattern), path, key, text="ids", ids_of=token_ids,
+                        count=F.octet_length("ids") / 2, end=TOKEN_END, pad=TOKEN_PAD, kind=TOKEN_KIND):
+        return spark.createDataFrame([], "slot long, sequence long, first_doc long, n_tokens int, ids binary")
+    return read_shards(spark, path, kind=TOKEN_KIND)

@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ratewise.llm import licences, training_order as to
+from ratewise.llm import bpe, licences, training_order as to
 from ratewise.llm.training_order import Permutation, read_shards, write_shards
 from ratewise.llm.url_lists import filter_captures, intervals, keys
 
@@ -83,6 +84,7 @@ def test_wrapped_notices(spark):
 # URL lists -----------------------------------------------------------------
 
 D = datetime.date
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def test_keys(spark):
@@ -197,5 +199,28 @@ def test_shards_against_brute_force(spark, tmp_path):
 def test_no_sequences(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
     df = spark.read.parquet(f"{tmp_path}/in")
-    assert write_shards(df, f"{tmp_path}/a", 1) == 0 and to.training_order(df, 1).count() == 0
-    assert to.training_order(df.limit(0), 1).count() == 0
+    assert write_shards(df, f"{tmp_path}/a", 1) == 0 and to.training_order(df, 1, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert to.training_order(df.limit(0), 1, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tokens_in_training_order_give_the_texts_back(spark, tmp_path):
+    r = random.Random(8)
+    docs = [(i, r.choice([None, "", "Ünïcode 文字 🙂\n" * r.randint(1, 30), "some words <|endoftext|> " * r.randint(1, 400)])) for i in range(120)]
+    docs += [(None, "no id"), (7, "same"), (7, "same")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    rows = to.training_order(df, 5, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(x.slot for x in rows) == list(range(len(rows))) and sorted(x.sequence for x in rows) == list(range(len(rows)))
+    with open(RANKS, "rb") as f:
+        codec = bpe.Codec(f.read(), public_tokenizers.PATTERN)
+    found, ids = [], []
+    for x in sorted(rows, key=lambda x: x.sequence):        # a document may run on in the next sequence
+        part = np.frombuffer(bytes(x.ids), dtype=np.uint16).tolist()
+        assert len(part) == x.n_tokens <= to.LENGTH and to.TOKEN_PAD not in part
+        for i in part:
+            if i == to.TOKEN_END:
+                found.append(codec.decode(ids).decode())
+                ids = []
+            else:
+                ids.append(i)
+    assert ids == [] and sorted(found) == sorted(t for _, t in docs if t)
