@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import (
+    fin_wide_row,
     DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR, fin, lead_time_bucket, normal_quantile, occ_band,
     relabel, sample_skew, year_month,
 )
@@ -413,8 +414,8 @@ def qq_points(df: DataFrame, col: str, m: int | None = None) -> DataFrame:
         points = (exact_quantiles(df, col, probs).select(F.posexplode("q").alias("i", "sample"))
                   .select((F.col("i") + 1).cast("long").alias("i"), "sample", F.lit(m).alias("n")))
     p = filliben(F.col("i"), F.col("n"))
-    return points.select((F.col("i") - 1).alias("i"), fin(p).alias("p"), fin(normal_quantile(p)).alias("theoretical"),
-                         fin("sample").alias("sample"))
+    return points.select((F.col("i") - 1).alias("i"), fin_wide_row(p).alias("p"), fin_wide_row(normal_quantile(p)).alias("theoretical"),
+                         fin_wide_row("sample").alias("sample"))
 
 
 def qq_fit(df: DataFrame, col: str) -> DataFrame:
