@@ -8,6 +8,7 @@ from ratewise.functions.columns import DAY_ABBR, LEAD_BUCKET_ORDER, MONTH_ABBR,
 from ratewise.operators import aggregates as A
 from ratewise.plans.catalog import query
 from ratewise.plans.oracle import R, with_bookings
+from ratewise.session import cut_lineage
 from ratewise.sources.bookings import bookings
 
 CORR_COLS = ["actual_price", "base_price", "competitor_avg_price", "occupancy_rate",
@@ -500,7 +501,7 @@ _PAIR_SQL = [_sql_kde(c, "room_type", f"_{i}") for i, c in enumerate(_PAIR)]
 def g43_kde_by_room_type(spark, d):
     """One density per column and room type."""
     from functools import reduce
-    b = _b(spark, d)
+    b = cut_lineage(_b(spark, d).select("room_type", *_PAIR))
     return reduce(lambda x, y: x.unionByName(y),
                   [A.kde(b, c, "room_type", 200, 3.0).withColumn("feature", F.lit(c)) for c in _PAIR])
 

@@ -8,6 +8,7 @@ from ratewise.functions.columns import fin
 from ratewise.operators import series as S
 from ratewise.plans.catalog import query
 from ratewise.plans.oracle import R, with_bookings
+from ratewise.session import cut_lineage
 from ratewise.sources.bookings import bookings
 
 DAILY = "daily AS (SELECT checkin_date AS ds, avg(revenue_per_night) AS y FROM bookings GROUP BY checkin_date)"
@@ -55,7 +56,7 @@ SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS power, unnest([{R('k0', 4)}, {R('k1'
 FROM cubic""", DAILY, *CUBIC))
 def w05_poly_trend(spark, d):
     """Cubic trend coefficients of the daily series (normal equations)."""
-    s = S.rolling_stats(S.daily_series(bookings(spark, d))).select("ds", "t_days", "y")
+    s = cut_lineage(S.rolling_stats(S.daily_series(bookings(spark, d))).select("ds", "t_days", "y"))   # a row a day
     model, t_max = S.poly_fit(s, 3)
     coef = [float(model.intercept)] + [float(x) for x in model.coefficients]
     out = spark.createDataFrame([(i, c, t_max) for i, c in enumerate(coef)], "power int, coef double, t_scale double")
@@ -67,7 +68,7 @@ SELECT ds, {R('k0 + t * (k1 + t * (k2 + t * k3))', 4)} AS forecast
 FROM (SELECT CAST(d1 + CAST(i AS INT) AS DATE) AS ds, datediff('day', d0, d1 + CAST(i AS INT)) / span AS t, k0, k1, k2, k3
       FROM cubic, range(1, 31) r(i)) x""", DAILY, *CUBIC))
 def w06_forecast_30d(spark, d):
-    s = S.rolling_stats(S.daily_series(bookings(spark, d))).select("ds", "t_days", "y")
+    s = cut_lineage(S.rolling_stats(S.daily_series(bookings(spark, d))).select("ds", "t_days", "y"))   # a row a day
     model, t_max = S.poly_fit(s, 3)
     return S.forecast(s, model, t_max, 30).withColumn("forecast", fin("forecast", 4))
 
