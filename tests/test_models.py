@@ -152,6 +152,39 @@ def test_permutation_importance_of_unused_feature_is_zero(bookings_small):
     assert imp["competitor_avg_price"].importance_mean > 0
 
 
+def test_training_rows_lie_in_few_even_parts(bookings_small, monkeypatch):
+    assert M.prepared_split(bookings_small)[0].rdd.getNumPartitions() == 1       # too few rows for more
+    monkeypatch.setattr(M, "PART_ROWS", 300)
+    train, test = M.prepared_split(bookings_small)
+    rows = train.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert len(rows) == train.sparkSession.sparkContext.defaultParallelism and max(rows) <= 1.2 * min(rows)
+    assert sum(rows) + test.count() == bookings_small.count()
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "_scaled" not in plan                           # the vectors are not made anew
+
+
+def test_permutation_scores_only_rows_that_it_changes(bookings_small):
+    from ratewise.operators.features import scaler_stats
+    cols = COLS + ["is_holiday", "is_weekend"]
+    train, test = M.chrono_split(M.model_table(bookings_small))
+    stats = scaler_stats(train, cols)
+    model = M.estimator("linear").fit(M.vectorize(train, [], cols)[0])
+    scored = []
+
+    class Spy:
+        getFeaturesCol = staticmethod(model.getFeaturesCol)
+
+        @staticmethod
+        def transform(df):
+            scored.append(df)
+            return model.transform(df)
+    imp = {r.feature: r for r in M.permutation_importance(Spy, test, cols, repeats=3, stats=stats).collect()}
+    assert set(imp) == set(cols) and imp["is_holiday"].importance_mean == 0.0
+    n, variants = test.count(), scored[-1].groupBy("fi").count().collect()
+    by = {cols[r.fi]: r["count"] for r in variants}
+    assert "is_holiday" not in by and by["is_weekend"] < 0.6 * 3 * n < by["competitor_avg_price"] <= 3 * n
+
+
 def test_poly_fit_matches_numpy(spark):
     import datetime as dt
     t = np.arange(40)
