@@ -153,9 +153,9 @@ def test_permutation_importance_of_unused_feature_is_zero(bookings_small):
 
 
 def test_training_rows_lie_in_few_even_parts(bookings_small, monkeypatch):
-    assert M.prepared_split(bookings_small)[0].rdd.getNumPartitions() == 1       # too few rows for more
+    assert M.prepared_split(bookings_small, even=True)[0].rdd.getNumPartitions() == 1       # too few rows for more
     monkeypatch.setattr(M, "PART_ROWS", 300)
-    train, test = M.prepared_split(bookings_small)
+    train, test = M.prepared_split(bookings_small, even=True)
     rows = train.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
     assert len(rows) == train.sparkSession.sparkContext.defaultParallelism and max(rows) <= 1.2 * min(rows)
     assert sum(rows) + test.count() == bookings_small.count()
