@@ -15,8 +15,11 @@ in, or rows with equal scores stand at the boundary; of these the smallest ids
 are taken, and the scores of the chosen rows are products computed in full.
 Blocks' answers meet in one top-k per query.
 
-The queries are a stated set of rows against all rows, in blocks: index blocks
-meet groups of ``QUERIES`` queries, one pair a row.
+The queries are a stated set of rows against all rows. Index blocks and groups of
+``QUERIES`` queries are dealt to a grid of cells: a task holds one cell, of at most
+``CELL`` bytes of blocks and of queries (or one block and one group), and keeps the k best rows of a
+query over the cell's blocks. A block is sent once a column of the grid, a group of queries once
+a row of it, in as few bytes a code as the largest needs.
 
 A vector takes no part, as query or candidate, when it is null or empty or holds
 a null or non-finite component. Only vectors of equal length meet. An id that
@@ -44,6 +47,9 @@ from ratewise.llm.common import cut_lineage, ship_package
 SCALE = 64
 BLOCK = 8192
 QUERIES = 512
+CELL = 2 ** 26          # bytes of codes, at four a code, that a task holds of blocks, and of queries
+GROUPS = 64             # groups of queries that a task holds at most: their best rows are held, too
+MOST_PARTS = 2000       # partitions that cells are dealt to
 LIMIT = 2 ** 26
 _WORD = 64
 
@@ -51,17 +57,19 @@ _WORD = 64
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v, wide): the vectors that take part; ``wide`` if a code is beyond +-``LIMIT``."""
     x = F.col("v")
+    whole = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size(x) > 0)
-    return (df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return (df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(whole).alias("v"))
             .where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
             .groupBy("id").agg(F.min("v").alias("v"))
             .withColumn("wide", F.exists("v", lambda e: F.abs(e) >= LIMIT / SCALE)))
 
 
-def _codes(packed: bytes, rows: int, wide: bool) -> np.ndarray:
+def _codes(packed: bytes, rows: int, dim: int, wide: bool) -> np.ndarray:
     """The whole numbers floor(64 x) of packed vectors: int64, or Python's numbers of any length."""
     if not wide:
-        return np.frombuffer(packed, dtype=np.int32).astype(np.int64).reshape(rows, -1)
+        size = len(packed) // (rows * dim)
+        return np.frombuffer(packed, dtype=f"i{size}").astype(np.int64).reshape(rows, dim)
     v = np.frombuffer(packed, dtype=np.float64)     # from 2^46 on a double is whole, and times 64 might be none
     return np.array([int(x) * SCALE if abs(x) >= 2.0 ** 46 else math.floor(x * SCALE) for x in v.tolist()],
                     dtype=object).reshape(rows, -1)
@@ -81,7 +89,8 @@ def _pack(rows: np.ndarray) -> np.ndarray:
     n = rows.shape[-1]
     pad = -n % _WORD
     rows = np.concatenate([rows, np.zeros((*rows.shape[:-1], pad), dtype=bool)], axis=-1) if pad else rows
-    return np.packbits(rows, axis=-1, bitorder="little").view(np.uint64)
+    # a transposed array packs to one whose last axis is not in one piece, which has no other view
+    return np.ascontiguousarray(np.packbits(rows, axis=-1, bitorder="little")).view(np.uint64)
 
 
 class Block:
@@ -157,61 +166,112 @@ class Block:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[:len(self.ids)])
 
 
+_NO_ID = np.iinfo(np.int64).max
+_NO_SCORE = -(2 ** 63 - 1)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line's candidates the k best, smaller ids first where scores are equal."""
+    order = np.lexsort((ids, -scores), axis=-1)[:, :k]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+
 def _search(k: int):
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["block_ids"], dtype=np.int64)
-                block = Block(ids, _codes(r["block_codes"], len(ids), r["block_wide"]))
-                qid = np.frombuffer(r["query_ids"], dtype=np.int64)
-                qs = _codes(r["query_codes"], len(qid), r["query_wide"])
-                wide = r["block_wide"] or r["query_wide"]
-                a, b, c, keys = [], [], [], []
-                for own, q in zip(qid, qs):
-                    if wide:
-                        q = q.astype(object)
-                    found, score = block.top(q, own, k)
-                    a.append(np.full(len(found), own))
-                    b.append(found)
-                    keys += [_order_key(int(x)) for x in score] if wide else [None] * len(found)
-                    c.append(np.array([max(-2 ** 63, min(2 ** 63 - 1, int(x))) for x in score], dtype=np.int64) if wide else score)
-                yield pa.record_batch([*[pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, c)], pa.array(keys, pa.binary())],
-                                      names=["query_id", "vec_id", "score", "key"])
+    """The k best rows of every query of a cell over the cell's blocks."""
+    def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        dim, wide_rows, wide_queries = (x.as_py() for x in key[:3])
+        wide = wide_rows or wide_queries
+        own, queries = [], []
+        for r in (asked.to_pylist() if len(blocks) else []):
+            ids = np.frombuffer(r["query_ids"], dtype=np.int64)
+            own.append(ids)
+            queries.append(_codes(r["query_codes"], len(ids), dim, wide_queries))
+        own = np.concatenate(own) if own else np.empty(0, dtype=np.int64)
+        best_ids = np.full((len(own), k), _NO_ID)
+        best_scores = np.full((len(own), k), _NO_SCORE)
+        lists: list[list] = [[] for _ in own] if wide else []
+        for i in range(len(blocks) if len(own) else 0):
+            ids = np.frombuffer(blocks["block_ids"][i].as_py(), dtype=np.int64)
+            block = Block(ids, _codes(blocks["block_codes"][i].as_py(), len(ids), dim, wide_rows))
+            more_ids, more_scores = np.full((len(own), k), _NO_ID), np.full((len(own), k), _NO_SCORE)
+            for n, q in enumerate(q for group in queries for q in group):
+                found, score = block.top(q.astype(object) if wide else q, own[n], k)
+                if wide:
+                    lists[n] = sorted(lists[n] + [(-int(x), int(y)) for x, y in zip(score, found)])[:k]
+                else:
+                    more_ids[n, :len(found)], more_scores[n, :len(found)] = found, score
+            if not wide:
+                best_ids, best_scores = _best(np.hstack([best_ids, more_ids]), np.hstack([best_scores, more_scores]), k)
+        if wide:
+            a = np.repeat(own, [len(x) for x in lists])
+            found = [x for each in lists for x in each]
+            out = [a, [y for _, y in found], [max(-2 ** 63, min(2 ** 63 - 1, -x)) for x, _ in found], [_order_key(-x) for x, _ in found]]
+        else:
+            a = np.repeat(own, k)
+            has = best_ids.ravel() != _NO_ID
+            has |= best_scores.ravel() != _NO_SCORE
+            out = [a[has], best_ids.ravel()[has], best_scores.ravel()[has], [None] * int(has.sum())]
+        return pa.table([pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.binary()])],
+                        names=["query_id", "vec_id", "score", "key"])
     return run
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows dealt to blocks of about ``size`` by a hash of their id, one row a block; wide rows lie apart."""
-    counts = rows.groupBy(F.size("v").alias("dim"), "wide").agg(F.ceil(F.count(F.lit(1)) / size).alias("_blocks"))
-
+def _packed(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Rows dealt to the blocks that ``counts`` has for their length by a hash of their id, one row a block; wide rows lie apart."""
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows_ = table.combine_chunks()
         dim, wide, number = (x.as_py() for x in key)
         v = rows_["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows_), -1)
-        data = v.tobytes() if wide else np.floor(v * SCALE).astype(np.int32).tobytes()
-        return pa.table({f"{name}_ids": pa.array([rows_["id"].to_numpy().tobytes()], pa.binary()), f"{name}_codes": pa.array([data], pa.binary()),
+        if not wide:
+            v = np.floor(v * SCALE)
+            v = v.astype(np.min_scalar_type(min(int(v.min()), -1 - int(v.max()), -1)))
+        return pa.table({f"{name}_ids": pa.array([rows_["id"].to_numpy().tobytes()], pa.binary()), f"{name}_codes": pa.array([v.tobytes()], pa.binary()),
                          "dim": pa.array([dim], pa.int32()), f"{name}_wide": pa.array([wide], pa.bool_()),
                          f"{name}_no": pa.array([number], pa.int64())})
-    dealt = (rows.withColumn("dim", F.size("v")).join(counts, ["dim", "wide"])
-             .withColumn("block", F.pmod(F.xxhash64("id", F.lit(name)), F.col("_blocks"))).select("id", "v", "dim", "wide", "block"))
+    dealt = (rows.withColumn("dim", F.size("v")).join(counts.withColumnRenamed(f"{name}_wide", "wide"), ["dim", "wide"])
+             .withColumn("block", F.pmod(F.xxhash64("id", F.lit(name)), F.col(f"{name}s"))).select("id", "v", "dim", "wide", "block"))
     return dealt.groupBy("dim", "wide", "block").applyInArrow(
         pack, f"{name}_ids binary, {name}_codes binary, dim int, {name}_wide boolean, {name}_no long")
 
 
+def _counts(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """(dim, <name>_wide, <name>s): the number of blocks of about ``size`` rows for each vector length."""
+    return (rows.groupBy(F.size("v").alias("dim"), F.col("wide").alias(f"{name}_wide"))
+            .agg(F.ceil(F.count(F.lit(1)) / size).alias(f"{name}s")))
+
+
+def grid(blocks: DataFrame, queries: DataFrame, tasks: int) -> DataFrame:
+    """(dim, block_wide, query_wide, across, down): the grid of cells for each vector length.
+    Blocks are dealt to ``down`` rows, query groups to ``across`` columns, as many as memory asks
+    for, and more where they are fewer than ``tasks`` cells."""
+    most = F.greatest(F.lit(1), F.floor(F.lit(CELL) / (F.col("dim") * 4 * BLOCK)))
+    most_q = F.greatest(F.lit(1), F.least(F.lit(GROUPS), F.floor(F.lit(CELL) / (F.col("dim") * 4 * QUERIES))))
+    least = blocks.join(queries, "dim").withColumns({"down": F.ceil(F.col("blocks") / most), "across": F.ceil(F.col("querys") / most_q)})
+    least = least.withColumn("down", F.least("blocks", F.greatest("down", F.ceil(tasks / F.col("across")))))
+    return (least.withColumn("across", F.least("querys", F.greatest("across", F.ceil(tasks / F.col("down")))))
+            .select("dim", "block_wide", "query_wide", F.col("across").cast("int"), F.col("down").cast("long")))
+
+
 def top_k(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for every row that
     ``queries`` (a condition on ``vec_id``) names."""
     ship_package(df.sparkSession)
     rows = cut_lineage(usable(df, key, vector))
-    blocks = _packed(rows, BLOCK, "block")
-    asked = cut_lineage(_packed(rows.withColumn(key, F.col("id")).where(queries).drop(key), QUERIES, "query"))
-    groups = asked.groupBy("dim", "query_wide").agg(F.max("query_no").alias("_last"))     # one or two rows a vector length
-    pairs = (blocks.join(groups, "dim")
-             .withColumn("query_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-             .join(asked, ["dim", "query_wide", "query_no"])
-             .select("block_ids", "block_codes", "block_wide", "query_ids", "query_codes", "query_wide")
-             .repartition("block_ids", "query_ids"))
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long, key binary")
+    asked = rows.withColumn(key, F.col("id")).where(queries).drop(key)
+    n_blocks, n_queries = _counts(rows, BLOCK, "block"), _counts(asked, QUERIES, "query")
+    cells = cut_lineage(grid(n_blocks, n_queries, 4 * df.sparkSession.sparkContext.defaultParallelism))  # few rows a vector length
+    n_cells = cells.agg(F.sum(F.col("across") * F.col("down"))).first()[0] or 1
+    at = ["dim", "block_wide", "query_wide", "_down", "_across"]
+    held = (_packed(rows, n_blocks, "block").join(cells, ["dim", "block_wide"])
+            .withColumn("_down", F.pmod("block_no", "down")).withColumn("_across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+            .select(*at, "block_ids", "block_codes"))
+    come = (_packed(asked, n_queries, "query").join(cells, ["dim", "query_wide"])
+            .withColumn("_across", F.pmod("query_no", "across").cast("int"))
+            .withColumn("_down", F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)))
+            .select(*at, "query_ids", "query_codes"))
+    # small cells are much work, so partitions are not to be merged by their bytes
+    held, come = (x.repartition(min(n_cells, MOST_PARTS), *at) for x in (held, come))
+    found = held.groupBy(*at).cogroup(come.groupBy(*at)).applyInArrow(_search(k), "query_id long, vec_id long, score long, key binary")
     if rows.where("wide").take(1):              # scores of any length
         exact = F.udf(_order_key, "binary")
         found = found.withColumn("key", F.coalesce("key", exact("score")))

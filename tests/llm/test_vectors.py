@@ -109,6 +109,38 @@ def test_top_k(spark, monkeypatch, block, queries, k):
     assert got == brute_top(data, k)
 
 
+@pytest.mark.parametrize("cell", [1, 8 * 4 * 40 * 3])
+def test_top_k_in_cells_of_few_blocks(spark, monkeypatch, cell):
+    for name, value in (("BLOCK", 40), ("QUERIES", 3), ("CELL", cell), ("GROUPS", 2), ("MOST_PARTS", 5)):
+        monkeypatch.setattr(bit_slices, name, value)
+    data = vectors(6, n=400) + [(i, [0.5, -0.25] * 4, 1) for i in range(500, 560)]
+    data += [(i, [3e7 * (i % 3 - 1), 1.5] * 4, 1) for i in range(600, 650)]         # wide rows
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 20 == 0, 20).collect())
+    assert got == brute_top(data, 20)
+
+
+@pytest.mark.parametrize("n", [63, 64, 128])
+def test_a_block_of_whole_words(n):
+    data = vectors(7, n=n)
+    code = np.floor(np.array([v for _, v, _ in data]) * 64).astype(np.int64)
+    block = bit_slices.Block(np.arange(n), code)
+    want = sorted(range(1, n), key=lambda i: (-(code[i] @ code[0]), i))[:5]
+    ids, scores = block.top(code[0], 0, 5)
+    assert sorted(ids) == sorted(want) and set(scores) == {code[i] @ code[0] for i in want}
+
+
+def test_a_block_is_not_sent_to_every_group_of_queries(spark):
+    n, dim, tasks = 1_500_000, 98, 24
+    blocks = spark.createDataFrame([(dim, False, -(-n // bit_slices.BLOCK))], "dim int, block_wide boolean, blocks long")
+    queries = spark.createDataFrame([(dim, False, -(-n // 20 // bit_slices.QUERIES))], "dim int, query_wide boolean, querys long")
+    (cell,) = bit_slices.grid(blocks, queries, tasks).collect()
+    sent = n * dim * cell.across + n // 20 * dim * cell.down        # bytes, at one a code
+    assert sent < n * dim * 4 and cell.across * cell.down >= tasks
+    rows = bit_slices.usable(spark.createDataFrame([(i, [i / 100 - 1, 0.5], 1) for i in range(100)], SCHEMA), "vec_id", "embedding")
+    (block,) = bit_slices._packed(rows, bit_slices._counts(rows, 8192, "block"), "block").collect()
+    assert len(block.block_codes) == 100 * 2                        # a byte a code where that is enough
+
+
 def test_top_k_of_few_rows(spark):
     assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
     assert top_k(spark.createDataFrame([(20, [1.0], 1)], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
