@@ -29,6 +29,44 @@ def test_dedupe_compares_whole_rows_only_where_hashes_repeat(spark):
     assert "LeftAnti" in plan and "LeftSemi" in plan
 
 
+@pytest.mark.parametrize("most", [64, 2 ** 24])
+def test_dedupe_joins_only_likely_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "MOST_BITS", most)
+    rows = [(i, i % 7, "x") for i in range(5000)] + [(i, i % 7, "x") for i in range(0, 5000, 50)] * 2
+    df = cut_lineage(spark.createDataFrame(rows, "a int, b int, s string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as if the repeated hashes were too many to broadcast
+    written = []
+    try:
+        from ratewise import session
+        plain = session.cut_lineage
+        monkeypatch.setattr(session, "cut_lineage", lambda d: written.append(plain(d)) or written[-1])
+        got = C.dedupe(df, ())
+        assert sorted(map(tuple, got.collect())) == sorted(set(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joined = written[-1].count()                                        # the rows that are shuffled for the joins
+    assert joined >= 300 and (most == 64 or joined < 1000)
+
+
+def test_a_written_cut_leaves_no_shuffle_files(spark):
+    import os
+    import time
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+
+    def shuffles():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in top for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    held = shuffles()
+    cut = cut_lineage(spark.range(20_000).repartition(4, "id"))
+    for _ in range(50):
+        if not shuffles() - held:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - held and spark.conf.get(name) == before and cut.count() == 20_000
+
+
 def test_written_bookings_are_the_bookings(spark, small_dir):
     cols = [*B.KEY_COLS, "actual_price", "is_test"]
     want = B.bookings(spark, small_dir).select(*cols)
