@@ -10,7 +10,7 @@ from ratewise.operators import elasticity as E
 from ratewise.plans.catalog import query
 from ratewise.plans.oracle import R, with_bookings
 from ratewise.plans.q_aggregates import sql_histogram
-from ratewise.sources.bookings import KEY_COLS, bookings
+from ratewise.sources.bookings import KEY_COLS, bookings, written_bookings
 
 ELAS_CTE = """elas AS (
   SELECT *, CASE WHEN pcp <> 0 THEN least(greatest(dcp / pcp, -5e0), 5e0) END AS elasticity
@@ -23,6 +23,11 @@ def _elas(spark, d):
     return E.row_elasticity(bookings(spark, d))
 
 
+def _elas_by(spark, d, by):
+    """The elasticities over one narrow written table: groups, means and quantiles read it."""
+    return E.row_elasticity(written_bookings(spark, d, by, "actual_price", "base_price", "occupancy_rate"))
+
+
 @query("e01_row_elasticity", with_bookings(
     f"SELECT {', '.join(KEY_COLS)}, {R('pcp')} AS price_change_pct, {R('dcp')} AS demand_change_pct, "
     f"{R('elasticity')} AS elasticity FROM elas", ELAS_CTE))
@@ -40,12 +45,12 @@ FROM (SELECT {by}, quantile_cont(elasticity, 0.5) AS m FROM elas GROUP BY {by})
 
 @query("e02_elasticity_by_room_type", _sql_by("room_type", -1.0))
 def e02_elasticity_by_room_type(spark, d):
-    return E.elasticity_by(_elas(spark, d), "room_type", -1.0)
+    return E.elasticity_by(_elas_by(spark, d, "room_type"), "room_type", -1.0)
 
 
 @query("e03_elasticity_by_month", _sql_by("month", -0.5))
 def e03_elasticity_by_month(spark, d):
-    return E.elasticity_by(_elas(spark, d), "month", -0.5)
+    return E.elasticity_by(_elas_by(spark, d, "month"), "month", -0.5)
 
 
 @query("e04_elasticity_histogram", sql_histogram("elasticity", 80, source="elas", extra_ctes=(ELAS_CTE,)))
