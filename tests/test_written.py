@@ -93,3 +93,17 @@ def test_several_readers_of_one_cut(spark, small_dir, monkeypatch, module, name)
     monkeypatch.setattr(where, "cut_lineage", lambda df: made.append(df) or plain(df))
     plan = fn(spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(made) == 1 and "l_orderkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["e02_elasticity_by_room_type", "e03_elasticity_by_month", "f14_label_encode"])
+def test_one_star_join_before_a_cut(spark, small_dir, name):
+    plan = load_all()[name].fn(spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "o_orderdate" not in plan
+
+
+def test_csv_of_the_bookings_is_compressed(spark, small_dir):
+    from ratewise.plans import q_ingest
+    out = q_ingest.s01_csv_roundtrip(spark, small_dir)
+    assert out.inputFiles() and all(f.endswith(".csv.gz") for f in out.inputFiles())
+    want = B.bookings(spark, small_dir)
+    assert out.schema.names == want.schema.names and not out.exceptAll(want).count() and out.count() == want.count()
